@@ -145,7 +145,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     size = F.length("text")
     short = common.map_batches(rows.where(size <= long), whole, SCHEMA)
-    parts = F.shiftleft(F.lit(1), F.ceil(F.log2(size / leaf)).cast("int"))
+    parts = F.pow(F.lit(2), F.ceil(F.log2(size / leaf))).cast("int")
     big = (
         rows.where(size > long)
         .groupBy("doc_id", F.sha2("text", 256).alias("key"))

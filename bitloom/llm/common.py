@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch sent to a Python worker, so that long texts do not pile up in one batch.
 BATCH_BYTES = 8 << 20
@@ -61,26 +63,21 @@ def small_batches(spark: SparkSession) -> None:
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]], schema: str) -> DataFrame:
     """Each Arrow batch through the function that make() builds once a task; it returns columns by name."""
     small_batches(df.sparkSession)
-    names = [f.name for f in _fields(schema)]
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(_fields(schema))
         work = make()
         for batch in batches:
             if batch.num_rows:
                 out = work(batch)
-                arrays = [x if isinstance(x := out[n], pa.Array) else pa.array(x, arrow.field(n).type) for n in names]
+                arrays = [x if isinstance(x := out[n], pa.Array) else pa.array(x, arrow.field(n).type) for n in arrow.names]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def _fields(schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema)
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def id_bucket(column: str, modulus: int) -> Column:

@@ -148,11 +148,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     no rows. capacity is a power of two.
     """
     common.small_batches(docs.sparkSession)
+    schema = common.arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(common._fields(SCHEMA))
         words, packer, end = WordIds(tokenizer), Packer(TaskContext.get().partitionId(), capacity), np.array([END_ID], "<u4").tobytes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
