@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import bpe, embeddings, media, packing
+from bitloom.llm import bpe, embeddings, media, minhash, packing
 from bitloom.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -32,5 +36,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_embeddings": op2_embeddings, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_embeddings": op2_embeddings, "op5_minhash": op5_minhash, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing}
 SQL: dict[str, str] = {}
