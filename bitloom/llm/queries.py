@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bitloom.llm import bpe, embeddings, media, minhash, packing
-from bitloom.llm.common import documents
+from bitloom.llm import bpe, embeddings, language, media, minhash, packing, quality
+from bitloom.llm.common import documents, id_bucket
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,10 +17,24 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language.train(docs.where(id_bucket("doc_id", 3) != 1))
+    found = language.label(docs, model)
+    return found.select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality.train(docs, labels.where(id_bucket("doc_id", 4) != 2))
+    found = quality.scored(docs, rules)
+    return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -36,5 +51,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_embeddings": op2_embeddings, "op5_minhash": op5_minhash, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_embeddings": op2_embeddings, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing}
 SQL: dict[str, str] = {}
