@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import bpe, embeddings, language, media, minhash, packing, quality
+from bitloom.llm import bpe, embeddings, language, lm, media, minhash, packing, quality
 from bitloom.llm.common import documents, id_bucket
 
 
@@ -28,6 +28,13 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = lm.train(docs.where(id_bucket("doc_id", 7) != 2))
+    held_out = (id_bucket("doc_id", 7) == 2).alias("held_out")
+    return lm.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     rules = quality.train(docs, labels.where(id_bucket("doc_id", 4) != 2))
@@ -51,5 +58,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_embeddings": op2_embeddings, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_embeddings": op2_embeddings, "op3_lm": op3_lm, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing}
 SQL: dict[str, str] = {}
