@@ -20,11 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import common
+from bitloom.llm.words import WordIds, load
 
 LONG, LEAF, WINDOW, REACH, AGREE = 32_768, 16_384, 256, 32, 3
+#: Words whose ids a worker keeps, and texts that it encodes at once.
+CACHED, TEXTS = 300_000, 128
+#: White space before a space, and how other white space begins in UTF-8.
+_BLANKS = (b"  ", b"\t ", b"\n ", b"\x0b ", b"\x0c ", b"\r ", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
+def _table(vocabulary: dict[str, int], special: dict) -> list[bytes]:
+    """The bytes of each token. Byte-level vocabularies write a byte that is printable as that character, and the others, in
+    order, as the characters from U+0100."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = token.encode() if i in special else bytes(map(byte_of.__getitem__, token))
+    return out
+
+
 @cache
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -32,24 +49,32 @@ def codec(path: str) -> Codec:
 
 class Codec:
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
+        self.tokenizer = t = load(path)
         vocabulary, special = t.get_vocab(with_added_tokens=True), t.get_added_tokens_decoder()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte-level token has a character for each byte
             self.bytes_of[i] = len(token.encode()) if i in special else len(token)
+        self.specials = [s.content.encode() for s in special.values()]
+        self.table = _table(vocabulary, special)
+        self.first, self.spaced = WordIds(t, cached=CACHED), WordIds(t, b" ", cached=CACHED)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of texts. Where all spaces follow something else than white space, and there is no special token, the
+        tokenizer splits before each space, so that the ids are those of the words with their spaces."""
+        out: list = [None] * len(texts)
+        data = [t.encode("utf-8") for t in texts]
+        words = [k for k, d in enumerate(data) if not any(x in d for x in _BLANKS) and not any(x in d for x in self.specials)]
+        split = [data[k].split(b" ") for k in words]
+        for k, a, b in zip(words, self.first.ids([s[:1] for s in split]), self.spaced.ids([s[1:] for s in split]), strict=True):
+            out[k] = np.frombuffer(a + b, "<u4")
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(found.ids, "<u4")
+        return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        """The text of the tokens' bytes, special tokens included; what is not UTF-8 becomes U+FFFD."""
+        return [b"".join(map(self.table.__getitem__, i.tolist())).decode("utf-8", "replace") for i in ids]
 
     def bounds(self, ids: np.ndarray) -> np.ndarray:
         """The byte at which each token begins, then the end."""
@@ -124,7 +149,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         c = codec(tokenizer)
 
         def work(batch: pa.RecordBatch) -> dict:
-            ids = c.encode(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            ids = [i for k in range(0, len(texts), TEXTS) for i in c.encode(texts[k : k + TEXTS])]
             return {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) for i in ids], "ids": [i.tobytes() for i in ids], "decoded": c.decode(ids)}
 
         return work

@@ -20,45 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import common
+from bitloom.llm.words import WordIds, load
 
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that a task holds before it packs them.
 WINDOW = 1 << 21
-#: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHED = 250_000
+#: Texts that are split into words at once.
+TEXTS = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
 
 
-class WordIds(dict):
-    """The ids of words that stand between ASCII white space, as little-endian unsigned 32-bit integers.
-
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words in turn.
-    """
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8").split()
-        if new := list(set(words) - self.keys()):
-            if len(self) + len(new) > CACHED:
-                self.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        return b"".join(map(self.__getitem__, words))
-
-
 class Packer:
     """Packs pieces (doc_id, start, ids, doc_tokens) of one task."""
 
@@ -151,14 +124,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = common.arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer, end = WordIds(tokenizer), Packer(TaskContext.get().partitionId(), capacity), np.array([END_ID], "<u4").tobytes()
+        words, packer, end = WordIds(load(tokenizer), lower=True), Packer(TaskContext.get().partitionId(), capacity), np.array([END_ID], "<u4").tobytes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packer.add(doc_id, np.frombuffer(words.encode(text or "") + end, "<u4"))
+            for at in range(0, batch.num_rows, TEXTS):
+                doc_ids, texts = (batch.column(c).slice(at, TEXTS).to_pylist() for c in (0, 1))
+                # the tokenizer drops white space and never joins what it separates
+                for doc_id, ids in zip(doc_ids, words.ids([(t or "").encode("utf-8").split() for t in texts]), strict=True):
+                    packer.add(doc_id, np.frombuffer(ids + end, "<u4"))
                 if packer.tokens >= WINDOW and (rows := packer.pack()):
                     yield out(rows)
         if rows := packer.pack(last=True):
