@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import bpe, embeddings, language, lm, media, minhash, packing, quality
+from bitloom.llm import bpe, embeddings, language, lines, lm, media, minhash, packing, quality
 from bitloom.llm.common import documents, id_bucket
 
 
@@ -58,5 +58,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_embeddings": op2_embeddings, "op3_lm": op3_lm, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return lines.dedup(docs, removed_col="n_removed").select("doc_id", "text", "n_removed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_embeddings": op2_embeddings, "op3_lm": op3_lm, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing, "op10_lines": op10_lines}
 SQL: dict[str, str] = {}
