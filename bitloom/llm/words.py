@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words whose ids are kept; the table is emptied when it is full.
-CACHED = 1_000_000
+CACHED = 2_000_000
 #: Words that the tokenizer gets in one item of a call.
 GROUP = 256
 #: Punctuation, without the apostrophe, whose ids do not depend on a letter or digit before it.
@@ -38,6 +38,10 @@ class WordIds(dict):
         self.tokenizer, self.lead, self.lower, self.cached, self.tails = tokenizer, lead, lower, cached, {}
         self.mark_id, mark = min(tokenizer.get_added_tokens_decoder().items())
         self.mark = mark.content.encode()
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.bound = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end (begin, if there is a lead) a word
+        shape = (lambda t: t.startswith(chr(0x120))) if lead else (lambda t: t.endswith("</w>"))
+        self.bound[[i for t, i in vocabulary.items() if shape(t)]] = True
 
     def ids(self, words: list[list[bytes]]) -> list[bytes]:
         """The joined ids of each list of words."""
@@ -64,14 +68,31 @@ class WordIds(dict):
         self.update([(w, self[stem] + self.tails[tail] if tail else self[stem]) for w, (stem, tail) in zip(new, parts, strict=True)])
 
     def _encode(self, new: list[bytes], lead: bytes) -> dict[bytes, bytes]:
-        """Encode in groups, with a special token between words that tells where a word's ids end."""
-        plain = [w for w in new if self.mark not in w]
-        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)] + [[w] for w in new if self.mark in w]
-        texts = [(lead + (self.mark + lead).join(g)).decode() for g in groups]
-        out = {}
-        for own, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id) if len(own) > 1 else np.zeros(0, np.int64)
-            starts, ends, data = [0, *(ends * 4 + 4).tolist()], [*(ends * 4).tolist(), 4 * len(ids)], ids.tobytes()
-            out.update((w, data[a:b]) for w, a, b in zip(own, starts, ends, strict=True))
+        """Encode in groups. Words of letters are one unit of the tokenizer each, so the tokens that bound units tell them
+        apart; between other words, and where the number of units is not that of the words, stands a special token."""
+        out: dict[bytes, bytes] = {}
+        whole = [w for w in new if w.decode().isalpha()] if self.bound.any() and lead == self.lead else []
+        rest = [w for w in new if not w.decode().isalpha()] if whole else list(new)
+        groups = [whole[k : k + GROUP] for k in range(0, len(whole), GROUP)]
+        for own, found in zip(groups, self._batch([lead + b" ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.bound[found])
+            if len(at) != len(own):
+                rest += own
+            elif lead:
+                self._cut(out, own, found, at.tolist(), [*at[1:].tolist(), len(found)])
+            else:
+                self._cut(out, own, found, [0, *(at[:-1] + 1).tolist()], (at + 1).tolist())
+        plain = [w for w in rest if self.mark not in w]
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)] + [[w] for w in rest if self.mark in w]
+        for own, found in zip(groups, self._batch([lead + (self.mark + lead).join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(found == self.mark_id) if len(own) > 1 else np.zeros(0, np.int64)
+            self._cut(out, own, found, [0, *(ends + 1).tolist()], [*ends.tolist(), len(found)])
         return out
+
+    def _batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    @staticmethod
+    def _cut(out: dict[bytes, bytes], own: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        data = ids.tobytes()
+        out.update((w, data[4 * a : 4 * b]) for w, a, b in zip(own, starts, ends, strict=True))
