@@ -17,6 +17,9 @@ from pyspark.sql.types import StructType
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
+#: Cells of the table that tells which rows may be concerned.
+MARKS = 1 << 22
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -85,6 +88,30 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0)).cast("int")
 
 
+def marked(keys: DataFrame) -> bytes:
+    """A table of MARKS bytes, 1 where the hash of a row of keys falls. Its size is fixed, whatever the number of rows."""
+    table = bytearray(MARKS)
+    for c in keys.select(_mark(keys.columns).alias("c")).distinct().toArrow()["c"].to_pylist():
+        table[c] = 1
+    return bytes(table)
+
+
+def _mark(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(MARKS)).cast("int")
+
+
+def may_be(table: bytes, columns: list[str]) -> Column:
+    """Whether a row may be among the marked keys; those that are always pass."""
+    return F.substring(F.lit(table), _mark(columns) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in gone. Only rows that may be concerned, by a table of fixed size, are shuffled."""
+    gone = stored(gone.select(key).distinct())
+    may = F.coalesce(may_be(marked(gone), [key]), F.lit(False))
+    return rows.where(~may).unionAll(rows.where(may).join(gone.hint("shuffle_hash"), key, "left_anti"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that can be reached over the edges, for nodes that have one.
 

@@ -18,11 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import common
+from bitloom.llm.common import marked, may_be
 
 PERCENT, LEAST = 80, 5
 CELLS = 1 << 16
-#: Cells of the bit table that tells which rows may be concerned.
-MARKS = 1 << 22
 _HASH = (1 << 55) - 1
 
 
@@ -39,23 +38,6 @@ def _ranks(texts: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(rank.get(c, 0)) for c in range(CELLS))), ",").cast("array<int>")
 
 
-def _marked(keys: DataFrame) -> bytes:
-    """A table of MARKS bytes: 1 where a key falls."""
-    table = bytearray(MARKS)
-    for c in keys.select(_mark(keys.columns).alias("c")).distinct().toArrow()["c"].to_pylist():
-        table[c] = 1
-    return bytes(table)
-
-
-def _mark(columns: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(MARKS)).cast("int")
-
-
-def _may(table: bytes, columns: list[str]) -> Column:
-    """Whether a row may be among the marked keys; those that are always pass."""
-    return F.substring(F.lit(table), _mark(columns) + 1, F.lit(1)) == F.lit(b"\x01")
-
-
 def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """(doc_id, pos): the lines to be removed. docs has doc_id and text."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -101,8 +83,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, pos) of the lines in pairs whose token sets match the earlier line's."""
     pairs = common.stored(pairs)
     ends = pairs.select("doc_id", "pos").unionAll(pairs.select(F.col("d").alias("doc_id"), F.col("p").alias("pos"))).distinct()
-    some = texts.where(_may(_marked(ends.select("doc_id").distinct()), ["doc_id"]))
-    lines = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(_may(_marked(ends), ["doc_id", "pos"]))
+    some = texts.where(may_be(marked(ends.select("doc_id").distinct()), ["doc_id"]))
+    lines = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(may_be(marked(ends), ["doc_id", "pos"]))
     sets = common.stored(lines.join(ends, ["doc_id", "pos"], "left_semi").select("doc_id", "pos", F.array_distinct(_tokens(F.col("line"))).alias("s")))
     both = pairs.join(sets, ["doc_id", "pos"]).join(sets.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("s").alias("t")), ["d", "p"])
     shared = F.size(F.array_intersect("s", "t"))
@@ -118,7 +100,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     """
     gone = common.stored(matches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), percent, least))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
-    may = F.coalesce(_may(_marked(gone.select("doc_id").distinct()), ["doc_id"]), F.lit(False))
+    may = F.coalesce(may_be(marked(gone.select("doc_id").distinct()), ["doc_id"]), F.lit(False))
     places = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
     left = packed.where(may).join(places.hint("shuffle_hash"), "doc_id", "left").select("row", "gone")
     rest = packed.where(~may).select("row", F.lit(None).cast("array<int>").alias("gone"))

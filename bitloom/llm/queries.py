@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import bpe, embeddings, language, lines, lm, media, minhash, packing, quality
+from bitloom.llm import bpe, embeddings, language, lines, lm, media, minhash, packing, pii, quality
 from bitloom.llm.common import documents, id_bucket
 
 
@@ -46,6 +46,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace(documents(spark, sf_dir, "doc_id", "text"), spans_col="entities")
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -63,5 +68,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, removed_col="n_removed").select("doc_id", "text", "n_removed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_embeddings": op2_embeddings, "op3_lm": op3_lm, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing, "op10_lines": op10_lines}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_embeddings": op2_embeddings, "op3_lm": op3_lm, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing, "op10_lines": op10_lines}
 SQL: dict[str, str] = {}
