@@ -6,9 +6,12 @@ share one of the COORDINATES - MATCH + 1 first pairs of each in any common order
 first, by counts in a table of fixed size. Collisions beyond the prefix are counted on the signatures themselves, which
 skips the long lists. At a similarity of 0.8 a signature misses MATCH with a probability under 1e-5 (binomial tail).
 
-No list is expanded into its pairs. First each list is joined to its least member only, and those links are confirmed on the
-full sets and made into components. Then lists that lie in one component are done; in the rest, tasks compare
-members of different components block by block and send on only pairs that match. Equal sets are one node throughout.
+No list is expanded into its pairs. First each list is joined to one of its members only, its head; HEADS orders of the
+documents give lists different heads. Those links are confirmed on the full sets, the best match of each document
+first, and made into components. Lists that lie in one component are then done. In the rest, tasks compare the signatures
+of members of different components, block by block, and name the members that have a match; these come together again
+with their full sets, and a task sends on a spanning forest of the links it confirms. A pair is tried in one list only, the
+first that both are posted in. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ PREFIX = COORDINATES - MATCH + 1
 #: Cells of the table that tells how frequent coordinate-value pairs are.
 CELLS = 1 << 16
 #: Members of a list that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 1024
+#: Orders of documents by which lists choose their heads.
+HEADS = 4
 
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,18 +100,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = told.where("sid is not null and doc_id is not null")
     nodes = common.stored(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.min("sig").alias("sig")).select("sid", "f.doc_id", "f.n", "sig"))
     lists = common.stored(_postings(nodes))
-    heads = lists.groupBy("key").agg(F.min("sid").alias("head"), F.count("*").alias("size")).where("size > 1")
-    lists = common.stored(lists.join(heads, "key").select("key", "sid", "head", "size"))
+    order = F.xxhash64(F.pmod("key", F.lit(HEADS)), "sid")
+    heads = lists.groupBy("key").agg(F.min(F.struct(order, "sid")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    lists = common.stored(lists.join(heads, "key").select("key", "sid", F.col("head.sid").alias("head"), "size"))
     stars = _matching(lists.where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct(), nodes, percent)
     stars = common.stored(stars)
 
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = stars.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("f")).select("f.a", "b")
     links = common.stored(_confirmed(first, nodes, rows, words, percent))
     parts = common.stored(common.components(links))
-    links = common.stored(links.unionAll(_confirmed(_between(stars, parts), nodes, rows, words, percent)))
+    links = common.stored(links.unionAll(_confirmed(_between(stars.select("a", "b"), parts), nodes, rows, words, percent)))
     parts = common.stored(common.components(links))
-    crossed = common.stored(_crossing(lists, parts, nodes, percent))
-    links = links.unionAll(_confirmed(crossed, nodes, rows, words, percent))
+    links = links.unionAll(_crossing(lists, parts, nodes, rows, words, percent))
     same = sets.select("doc_id", "sid").distinct()
     twins = same.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("doc_id", "a")
     links = links.unionAll(twins.join(same, "doc_id").select("a", F.col("sid").alias("b")).where("a <> b"))
@@ -157,12 +162,13 @@ def _matching(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def compare():
         def work(batch: pa.RecordBatch) -> dict:
-            enough = (_signatures(batch.column("sa")) == _signatures(batch.column("sb"))).sum(1) >= MATCH
-            return {"a": batch.column("a").filter(pa.array(enough)), "b": batch.column("b").filter(pa.array(enough))}
+            hits = (_signatures(batch.column("sa")) == _signatures(batch.column("sb"))).sum(1)
+            enough = pa.array(hits >= MATCH)
+            return {"a": batch.column("a").filter(enough), "b": batch.column("b").filter(enough), "hits": hits[hits >= MATCH].astype(np.int32)}
 
         return work
 
-    return common.map_batches(both.select("a", "b", "sa", "sb"), compare, "a binary, b binary")
+    return common.map_batches(both.select("a", "b", "sa", "sb"), compare, "a binary, b binary, hits int")
 
 
 def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -172,39 +178,70 @@ def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _crossing(lists: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Matching pairs within lists, beyond those to the head, that are not in one component."""
+def _crossing(lists: DataFrame, parts: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) within lists between components: as many as it takes to join what the links of a list join."""
     known = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).select("key", "sid", "size", "part")
     mixed = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
+    posted = lists.groupBy("sid").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    told = nodes.select("sid", "n", "sig").join(posted, "sid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = known.join(mixed, "key", "left_semi").join(nodes.select("sid", "n", "sig"), "sid")
-    open_ = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "part", "n", "sig")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(group["x"].iloc[0]), int(group["y"].iloc[0])
-        sig, sid, n = _signatures(group["sig"]), group["sid"].to_numpy(), group["n"].to_numpy()
-        part, own = pd.factorize(group["part"])[0], group["own"].to_numpy()
-        large = np.bincount(part).argmax()
-        found = []
-        for i in np.flatnonzero(part != large):  # members of the largest component are only compared with others
-            other = (part != part[i]) & ((part == large) | (np.arange(len(part)) > i))
-            if x != y:
-                other &= own != own[i]
-            other &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            j = np.flatnonzero(other)
-            j = j[(sig[j] == sig[i]).sum(1) >= MATCH]
-            found += [(min(sid[i], sid[k]), max(sid[i], sid[k])) for k in j]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return open_.groupBy("key", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that link by their full sets."""
-    pairs = common.stored(pairs)
-    ends = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    ends = nodes.select("sid", "doc_id").join(ends, "sid", "left_semi")
+    dealt = known.join(mixed, "key", "left_semi").withColumn("blocks", blocks)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "part")
+
+    def involved(group: pd.DataFrame) -> pd.DataFrame:
+        at = np.zeros(len(group), bool)
+        for i, j in _candidates(group, percent):
+            at[i], at[j] = True, True
+        return group.loc[at, ["key", "x", "y", "own", "sid", "part"]]
+
+    columns = "key long, x int, y int, own int, sid binary, part binary"
+    found = common.stored(dealt.join(told, "sid").groupBy("key", "x", "y").applyInPandas(involved, columns))
+    full = _sets(found.select("sid").distinct(), nodes, rows, words)
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(s, np.uint64) for s in group["set"]]
+        root, sid = np.array(pd.factorize(group["part"])[0]), group["sid"].to_numpy()
+        links = []
+        for i, near in _candidates(group, percent):
+            for j in near:
+                if root[i] != root[j] and _link(sets[i], sets[j], percent):
+                    root[root == root[j]] = root[i]
+                    links.append((sid[i], sid[j]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return found.join(told, "sid").join(full, "sid").groupBy("key", "x", "y").applyInPandas(linked, "a binary, b binary")
+
+
+def _candidates(group: pd.DataFrame, percent: int):
+    """(i, others): members of a list and those of other components that match them, each pair once in all lists."""
+    key, cross = int(group["key"].iloc[0]), int(group["x"].iloc[0]) != int(group["y"].iloc[0])
+    sig, n, keys = _signatures(group["sig"]), group["n"].to_numpy(), [np.asarray(k) for k in group["keys"]]
+    part, own = pd.factorize(group["part"])[0], group["own"].to_numpy()
+    large = np.bincount(part).argmax()
+    before = [k[: np.searchsorted(k, key)] for k in keys]  # lists that come first
+    for i in np.flatnonzero(part != large):  # members of the largest component are only compared with others
+        other = (part != part[i]) & ((part == large) | (np.arange(len(part)) > i))
+        if cross:
+            other &= own != own[i]
+        other &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        j = np.flatnonzero(other)
+        j = j[(sig[j] == sig[i]).sum(1) >= MATCH]
+        earlier = set(before[i].tolist())
+        j = [k for k in j if earlier.isdisjoint(before[k].tolist())]
+        if j:
+            yield i, j
+
+
+def _link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _sets(ends: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(sid, set) of the nodes in ends, computed anew from their texts."""
+    ends = common.stored(nodes.select("sid", "doc_id").join(ends, "sid", "left_semi"))
+    some = rows.where(common.may_be(common.marked(ends.select("doc_id")), ["doc_id"]))
 
     def sets():
         def work(batch: pa.RecordBatch) -> dict:
@@ -214,17 +251,21 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int,
 
         return work
 
-    full = common.map_batches(rows.join(ends, "doc_id").select("sid", "text"), sets, "sid binary, set binary")
-    full = common.stored(full.groupBy("sid").agg(F.min("set").alias("set")))
+    full = common.map_batches(some.join(ends, "doc_id").select("sid", "text"), sets, "sid binary, set binary")
+    return common.stored(full.groupBy("sid").agg(F.min("set").alias("set")))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that link by their full sets."""
+    pairs = common.stored(pairs)
+    ends = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
+    full = _sets(ends, nodes, rows, words)
     side = lambda c: full.select(F.col("sid").alias(c), F.col("set").alias(f"s{c}"))
 
     def link():
         def work(batch: pa.RecordBatch) -> dict:
-            good = []
-            for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
+            sets = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("sa", "sb"))
+            good = [_link(x, y, percent) for x, y in zip(*sets, strict=True)]
             return {"a": batch.column("a").filter(pa.array(good)), "b": batch.column("b").filter(pa.array(good))}
 
         return work
