@@ -1,0 +1 @@
+"""Relational operators over tensors, matrices and bit rows."""

@@ -1,0 +1 @@
+"""Where tensors come from and where factors go."""

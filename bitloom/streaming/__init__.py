@@ -1,0 +1 @@
+"""Nothing is streamed: a tensor is a batch input, and no operator here has a streaming form."""
