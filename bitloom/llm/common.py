@@ -17,8 +17,8 @@ from pyspark.sql.types import StructType
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
-#: Cells of the table that tells which rows may be concerned.
-MARKS = 1 << 22
+#: Cells of the tables that tell which rows may be concerned: such a table has at most as many rows, of 8 bytes.
+MARKS = 1 << 19
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -88,28 +88,26 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0)).cast("int")
 
 
-def marked(keys: DataFrame) -> bytes:
-    """A table of MARKS bytes, 1 where the hash of a row of keys falls. Its size is fixed, whatever the number of rows."""
-    table = bytearray(MARKS)
-    for c in keys.select(_mark(keys.columns).alias("c")).distinct().toArrow()["c"].to_pylist():
-        table[c] = 1
-    return bytes(table)
+def cells(keys: DataFrame) -> DataFrame:
+    """The cells, of MARKS, that the rows of keys fall into: a table of bounded size, to be broadcast."""
+    return F.broadcast(keys.select(_cell(keys.columns).alias("__cell")).distinct())
 
 
-def _mark(columns: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(MARKS)).cast("int")
+def _cell(columns: list[str]) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(*columns), F.lit(MARKS)), F.lit(0))
 
 
-def may_be(table: bytes, columns: list[str]) -> Column:
-    """Whether a row may be among the marked keys; those that are always pass."""
-    return F.substring(F.lit(table), _mark(columns) + 1, F.lit(1)) == F.lit(b"\x01")
+def maybe(rows: DataFrame, found: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows that may be among the keys whose cells are found (those that are always stay); with left_anti, the others."""
+    return rows.withColumn("__at", _cell(columns)).join(found, F.col("__at") == F.col("__cell"), how).drop("__at")
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is not in gone. Only rows that may be concerned, by a table of fixed size, are shuffled."""
+    """The rows whose key is not in gone. Only rows that may be concerned are shuffled."""
     gone = stored(gone.select(key).distinct())
-    may = F.coalesce(may_be(marked(gone), [key]), F.lit(False))
-    return rows.where(~may).unionAll(rows.where(may).join(gone.hint("shuffle_hash"), key, "left_anti"))
+    found = cells(gone)
+    some = maybe(rows, found, [key])
+    return maybe(rows, found, [key], "left_anti").unionAll(some.join(gone.hint("shuffle_hash"), key, "left_anti").select(*rows.columns))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import common
-from bitloom.llm.common import marked, may_be
+from bitloom.llm.common import cells, maybe
 
 PERCENT, LEAST = 80, 5
 CELLS = 1 << 16
@@ -83,8 +83,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, pos) of the lines in pairs whose token sets match the earlier line's."""
     pairs = common.stored(pairs)
     ends = pairs.select("doc_id", "pos").unionAll(pairs.select(F.col("d").alias("doc_id"), F.col("p").alias("pos"))).distinct()
-    some = texts.where(may_be(marked(ends.select("doc_id").distinct()), ["doc_id"]))
-    lines = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(may_be(marked(ends), ["doc_id", "pos"]))
+    some = maybe(texts, cells(ends.select("doc_id")), ["doc_id"])
+    lines = maybe(some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")), cells(ends), ["doc_id", "pos"])
     sets = common.stored(lines.join(ends, ["doc_id", "pos"], "left_semi").select("doc_id", "pos", F.array_distinct(_tokens(F.col("line"))).alias("s")))
     both = pairs.join(sets, ["doc_id", "pos"]).join(sets.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("s").alias("t")), ["d", "p"])
     shared = F.size(F.array_intersect("s", "t"))
@@ -100,10 +100,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     """
     gone = common.stored(matches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), percent, least))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
-    may = F.coalesce(may_be(marked(gone.select("doc_id").distinct()), ["doc_id"]), F.lit(False))
+    found = cells(gone.select("doc_id"))
     places = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    left = packed.where(may).join(places.hint("shuffle_hash"), "doc_id", "left").select("row", "gone")
-    rest = packed.where(~may).select("row", F.lit(None).cast("array<int>").alias("gone"))
+    left = maybe(packed, found, ["doc_id"]).join(places.hint("shuffle_hash"), "doc_id", "left").select("row", "gone")
+    rest = maybe(packed, found, ["doc_id"], "left_anti").select("row", F.lit(None).cast("array<int>").alias("gone"))
     both = left.unionAll(rest)
     kept = F.filter(F.split(F.col(f"row.`{text_col}`"), "\n"), lambda _, k: ~F.array_contains("gone", k))
     text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(kept, "\n"))

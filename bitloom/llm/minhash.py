@@ -241,7 +241,7 @@ def _link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _sets(ends: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(sid, set) of the nodes in ends, computed anew from their texts."""
     ends = common.stored(nodes.select("sid", "doc_id").join(ends, "sid", "left_semi"))
-    some = rows.where(common.may_be(common.marked(ends.select("doc_id")), ["doc_id"]))
+    some = common.maybe(rows, common.cells(ends.select("doc_id")), ["doc_id"])
 
     def sets():
         def work(batch: pa.RecordBatch) -> dict:
