@@ -36,6 +36,7 @@ class Model:
     core: set[tuple[int, int, int]] | None = None
     delta: int = 0
     bit_updates: int = 0
+    core_seconds: float = 0.0
 
 
 @dataclass
@@ -130,10 +131,10 @@ def _small(spark: SparkSession, s: DataFrame, h: DataFrame, masks: DataFrame, ro
 
 def sweep(tensor: DataFrame, config: Config, model: Model, iteration: int) -> Model:
     """One iteration: for Tucker first the core, whose change is not in the delta, then the three factors."""
-    model = replace(model, delta=0, bit_updates=0)
+    model, began = replace(model, delta=0, bit_updates=0, core_seconds=0.0), time.time()
     if model.core is not None:
         found, _ = core_plan.sweep(core_plan.Patterns(tensor, config.dims, model.masks), model.core, config.ranks)
-        model = replace(model, core=found)
+        model = replace(model, core=found, core_seconds=time.time() - began)
     for mode in (1, 2, 3):
         model = factor_sweep(tensor, config, model, mode, iteration)
     return model
@@ -171,10 +172,12 @@ def factorize(tensor: DataFrame, config: Config, compute_error: str | None = Non
             began = time.time()
             if model is None:
                 tried = [sweep(tensor, config, start(spark, config, k), iteration) for k in range(config.candidates)]
-                model = min(tried, key=lambda t: t.delta)
+                model, core_seconds = min(tried, key=lambda t: t.delta), sum(t.core_seconds for t in tried)
             else:
                 model = sweep(tensor, config, model, iteration)
-            result.factor_seconds += time.time() - began
+                core_seconds = model.core_seconds
+            result.core_seconds += core_seconds
+            result.factor_seconds += time.time() - began - core_seconds
             step = {"iteration": iteration, "delta": model.delta, "bit_updates": model.bit_updates}
             if compute_error == "every":
                 step |= model_error(tensor, config, model)
