@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import bpe, embeddings, language, lines, lm, media, minhash, packing, pii, quality
 from bitloom.llm.common import documents, id_bucket
+from bitloom.llm.oracle import SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,5 +69,6 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, removed_col="n_removed").select("doc_id", "text", "n_removed")
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_embeddings": op2_embeddings, "op3_lm": op3_lm, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_media": op8_media, "op9_packing": op9_packing, "op10_lines": op10_lines}
-SQL: dict[str, str] = {}
