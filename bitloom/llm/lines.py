@@ -4,9 +4,10 @@ A line's set holds its distinct lower-case tokens (what spaces separate). Lines
 |union|; a line goes if it matches one that stands earlier, by document id and then by place. Lines of fewer than LEAST
 tokens stay.
 
-Tokens are ordered by rarity, by counts in a table of CELLS cells, and then by hash. Matching lines share a token in their
-prefixes of n - ceil(n * PERCENT / 100) + 1 tokens, so lines are posted under those only. Sizes (length filter) and the places
-of the shared token (positional filter) leave few pairs, whose full token sets are compared.
+Tokens are ordered by rarity, by counts in a table of CELLS cells, and then by hash. Matching lines share SHARED tokens or
+more in their prefixes of n - ceil(n * PERCENT / 100) + SHARED tokens (the prefix filter, extended), so lines are posted
+under those only. Sizes (length filter) and the places of shared tokens (positional filter) take pairs out, those that
+share fewer tokens go, and the full token sets of the rest are compared.
 
 Equal lines count as one. Each posting list is first joined to its earliest line alone, which settles large groups of near
 copies in linear work; only lines that are not settled so meet the other earlier lines of their lists.
@@ -21,62 +22,64 @@ from bitloom.llm import common
 from bitloom.llm.common import cells, maybe
 
 PERCENT, LEAST = 80, 5
-CELLS = 1 << 16
-_HASH = (1 << 55) - 1
+CELLS, SHARED = 1 << 20, 3
 
 
 def _tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), " "), "")
+    return F.split(F.lower(text), " ")
 
 
 def _ranks(texts: DataFrame) -> Column:
-    """An array with the rarity of each cell: a logarithm of how many tokens of the corpus fall into it."""
-    token = F.explode(_tokens(F.translate("text", "\n", " ")))
-    cells = texts.select(token.alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    found = cells.select("cell", F.floor(F.log2("n") * 4).cast("int")).toArrow().to_pydict()
-    rank = dict(zip(*found.values(), strict=True))
-    return F.split(F.lit(",".join(str(rank.get(c, 0)) for c in range(CELLS))), ",").cast("array<int>")
+    """An array with the rarity of each cell: a logarithm of how many tokens of the corpus fall into it, in the high bits.
+
+    It is a scalar subquery, of a row of CELLS longs.
+    """
+    token = F.explode(_tokens(F.replace("text", F.lit("\n"), F.lit(" "))))
+    counts = texts.select(token.alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(CELLS)).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+    counts = common.stored(counts.select("cell", F.shiftleft(F.floor(F.log2("n") * 4).cast("long"), 55).alias("rank")))
+    every = texts.sparkSession.range(0, CELLS, 1, 1).join(counts, F.col("id") == F.col("cell"), "left")
+    row = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("rank", F.lit(0)).alias("rank")))).alias("r"))
+    return row.select(F.col("r.rank")).scalar()
 
 
 def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """(doc_id, pos): the lines to be removed. docs has doc_id and text."""
+    if -(-least * percent // 100) < SHARED:
+        raise ValueError(f"lines of {least} tokens match with fewer than {SHARED} shared")
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     ranks = _ranks(texts)
-
-    def key(t: Column) -> Column:
-        h = F.xxhash64(t)
-        rank = F.element_at(ranks, F.pmod(h, F.lit(CELLS)).cast("int") + 1)
-        return F.shiftleft(rank.cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
-
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     hashed = lines.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
-    keyed = hashed.select("doc_id", "pos", "h", "g", F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), key))).alias("keys"))
-    sized = keyed.where(F.size("keys") >= least).select("doc_id", "pos", "h", "g", F.size("keys").alias("n"), "keys")
-    prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    words = F.array_remove(F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    key = lambda h: F.get(ranks, F.pmod(h, F.lit(CELLS)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 9))
+    keyed = hashed.select("doc_id", "pos", "h", "g", words.alias("words")).where(F.size("words") >= least)
+    keyed = keyed.select("doc_id", "pos", "h", "g", F.size("words").alias("n"), F.sort_array(F.transform("words", key)).alias("keys"))
+    prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + SHARED)
     first = F.min(F.struct("doc_id", "pos", "n", prefix.alias("prefix"))).alias("f")
-    whole = common.stored(sized.groupBy("h", "g").agg(first, F.count("*").alias("copies")).select("h", "g", "f.*", "copies"))
+    whole = common.stored(keyed.groupBy("h", "g").agg(first, F.count("*").alias("copies")).select("h", "g", "f.*", "copies"))
     repeated = whole.where("copies > 1").select("h", "g", F.col("doc_id").alias("d"), F.col("pos").alias("p"))
     copies = hashed.select("doc_id", "pos", "h", "g").join(repeated, ["h", "g"]).where("doc_id <> d or pos <> p").select("doc_id", "pos")
 
-    posted = whole.select("doc_id", "pos", "n", F.posexplode("prefix").alias("at", "token"))
+    posted = whole.select("doc_id", "pos", "n", F.posexplode("prefix").alias("at", "token")).repartition("token")
     heads = posted.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "at")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    lists = common.stored(posted.join(heads.hint("shuffle_hash"), "token"))
+    lists = common.stored(posted.join(heads.hint("merge"), "token"))
     stars = lists.select("doc_id", "pos", "n", "at", F.col("head.doc_id").alias("d"), F.col("head.pos").alias("p"), F.col("head.n").alias("m"), F.col("head.at").alias("b"))
     settled = common.stored(_verified(texts, _filtered(stars, percent), percent))
-    long = lists.where("size > 2")
-    open_ = long.join(settled, ["doc_id", "pos"], "left_anti").where("doc_id <> head.doc_id or pos <> head.pos").select("token", "doc_id", "pos", "n", "at")
-    earlier = long.where("doc_id <> head.doc_id or pos <> head.pos").select("token", F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("n").alias("m"), F.col("at").alias("b"))
+    open_ = lists.join(settled, ["doc_id", "pos"], "left_anti").select("token", "doc_id", "pos", "n", "at")
+    earlier = lists.select("token", F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("n").alias("m"), F.col("at").alias("b"))
     others = _verified(texts, _filtered(open_.join(earlier, "token"), percent), percent)
     return copies.unionAll(settled).unionAll(others).distinct()
 
 
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a line (doc_id, pos, with n tokens, token at) and an earlier one (d, p, m, b) that may match."""
+    """Pairs of a line (doc_id, pos, with n tokens, token at) and an earlier one (d, p, m, b) that may match. Two matching
+    lines pass the positional filter at each token that they share."""
     need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
-    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b"))
+    most = F.least("at", "b") + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b"))
     small, large = F.least("n", "m"), F.greatest("n", "m")
     earlier = (F.col("d") < F.col("doc_id")) | ((F.col("d") == F.col("doc_id")) & (F.col("p") < F.col("pos")))
-    return pairs.where(earlier & (small * 100 >= large * percent) & (left >= need)).select("doc_id", "pos", "d", "p").distinct()
+    found = pairs.where(earlier & (small * 100 >= large * percent) & (most >= need))
+    return found.groupBy("doc_id", "pos", "d", "p").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).drop("shared")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -85,7 +88,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select("doc_id", "pos").unionAll(pairs.select(F.col("d").alias("doc_id"), F.col("p").alias("pos"))).distinct()
     some = maybe(texts, cells(ends.select("doc_id")), ["doc_id"])
     lines = maybe(some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")), cells(ends), ["doc_id", "pos"])
-    sets = common.stored(lines.join(ends, ["doc_id", "pos"], "left_semi").select("doc_id", "pos", F.array_distinct(_tokens(F.col("line"))).alias("s")))
+    words = F.array_remove(F.array_distinct(_tokens(F.col("line"))), "")
+    sets = common.stored(lines.join(ends, ["doc_id", "pos"], "left_semi").select("doc_id", "pos", words.alias("s")))
     both = pairs.join(sets, ["doc_id", "pos"]).join(sets.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("s").alias("t")), ["d", "p"])
     shared = F.size(F.array_intersect("s", "t"))
     return both.where(shared * 100 >= (F.size("s") + F.size("t") - shared) * percent).select("doc_id", "pos").distinct()
