@@ -1,0 +1,143 @@
+"""Surrogates for personal data, and the pipeline's stages."""
+
+import itertools
+import re
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from bitloom.llm import common, minhash, packing, pii, quality, queries
+from tests.llm.test_dedup import brute_documents, brute_lines
+
+S = pii.Surrogates(b"a key")
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 97, 1000])
+def test_numbers_are_permuted_without_fixed_points(size):
+    found = [S.number(x, size, b"t") for x in range(size)]
+    assert sorted(found) == list(range(size)) and all(x != y for x, y in enumerate(found))
+
+
+ENTITIES = {
+    "email": ["jo.12@mail3.example.com", "éva@post.example.org", "X.Y+z@a-b.co.uk"],
+    "phone": ["+1 (499) 555-6503", "(030) 123-4567", "555-123-4567"],
+    "card": ["4111 1111 1111 1111", "9807915762804490"],
+    "ip": ["161.17.88.162", "10.0.0.1"],
+    "ssn": ["123-45-6789"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+    "secret": ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "api_key: Ab3dEf6hIj9kLm2n"],
+    "number": ["123456789"],
+    "person": ["Mr. John Smith", "Mrs. Anna Schmidt", "Dr. Kowalski", "господин Иван Петров", "Frau Müller", "Mary Jones"],
+}
+
+
+@pytest.mark.parametrize(("kind", "text"), [(k, t) for k, texts in ENTITIES.items() for t in texts])
+def test_entities_are_found_and_replaced_in_their_format(kind, text):
+    new, spans = S.replaced(f"so {text} said")
+    assert [s["type"] for s in spans] == [kind]
+    old = f"so {text} said"[spans[0]["start"] : spans[0]["end"]]
+    assert old not in new and spans[0]["surrogate"] in new
+    if kind not in ("ip", "person"):
+        shape = lambda t: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", t)) if kind not in ("secret", "iban") else len(t)
+        assert shape(old) == shape(spans[0]["surrogate"])
+
+
+def test_checks_of_cards_and_ibans_stay_right():
+    for text in ("4111 1111 1111 1111", "5500005555555559"):
+        new = S.card(text)
+        assert pii._luhn(text) == int(text[-1]) and pii._luhn(new) == int(new[-1])
+    new = S.iban("DE89370400440532013000")
+    assert int(new[2:4]) == pii._iban_check(new) and new[:2] == "DE"
+
+
+def test_gender_script_and_coreference():
+    text, spans = S.replaced("Mr. John Smith met Mrs. Anna Smith. Mr. Smith left. MR. JOHN SMITH. господин Иван Петров. Mr. Xyzzy Smith")
+    names = [s["surrogate"] for s in spans if s["type"] == "person"]
+    given, surname = zip(*(n.split(" ") for n in names if " " in n), strict=True)
+    assert given[0].lower() in pii.NAMES["latin", "m"] and given[1].lower() in pii.NAMES["latin", "f"]
+    assert names[2] == surname[0] == surname[1]
+    assert [n for n in given if n.lower() in pii.NAMES["cyrillic", "m"]]
+    assert text.count("Smith") == 0 and len({n.lower() for n in names[:2]}) == 2
+
+
+def test_different_entities_stay_different(spark):
+    numbers = [f"{a:03d}-{b:02d}-{c:04d}" for a, b, c in itertools.product((0, 123, 900), (10, 11), range(60))]
+    found = [S.replaced(n)[0] for n in numbers]
+    assert len(set(found)) == len(numbers)
+    rows = [(k, f"call {n} or mail u{k}@mail.example.com") for k, n in enumerate(numbers)]
+    assert pii.collisions(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Version 2.0 of 2024-01-15 10:20:30", "costs 1,234,567.89 in 1999", "Mr. and Mrs.", "chapter 12, page 345", "CC BY-NC 4.0"])
+def test_clean_texts_stay(text):
+    assert S.replaced(text) == (text, [])
+
+
+def test_pii_rows(odd, odd_rows, none):
+    found = pii.replace(odd, spans_col="entities")
+    assert found.columns == [*odd.columns, "entities"]
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter((i, t if t is None else pii.Surrogates(pii.KEY).replaced(t)[0]) for i, t in odd_rows)
+    assert pii.replace(none).count() == 0
+
+
+def test_pii_query_leaves_no_entity(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    s = pii.Surrogates(pii.KEY)
+    n = 0
+    for r in queries.op6_pii(spark, sf).collect():
+        _, spans = s.replaced(texts[r.doc_id])
+        assert r.n_entities == len(spans)
+        for e in spans:
+            n += 1
+            assert texts[r.doc_id][e["start"] : e["end"]] not in r.text
+    assert n > 50
+
+
+def test_stages_equal_brute_force(spark, sf):
+    """Each stage on all that the one before kept."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    rules = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet").where(common.id_bucket("doc_id", 4) != 2))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r for r in docs.collect()}
+        after = common.stored(stage(spark, docs, sf))
+        if name == "packing":
+            rows = after.collect()
+            assert {r.doc_id for r in rows} == set(before) and sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+            assert max(r.sequence_tokens for r in rows) <= packing.CAPACITY
+            break
+        assert after.columns == columns
+        rows = {r.doc_id: r for r in after.collect()}
+        if name == "quality":
+            x = docs.select("doc_id", *(c.alias(s) for s, c in quality.statistics(docs.text).items())).toPandas().set_index("doc_id")
+            good = x.index[rules.score(x[list(quality.STATISTICS)].to_numpy(float)) >= quality.THRESHOLD]
+            assert set(rows) == set(good) and 0 < len(rows) < len(before)
+        elif name == "lines":
+            assert {i: r.text for i, r in rows.items()} == dict(brute_lines(sorted((i, r.text) for i, r in before.items())))
+        elif name == "minhash":
+            some = [i for i in before if i % 3 == 0 or i not in rows]  # brute force over those that went, and a third of the rest
+            component = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 5).collect()}
+            assert set(rows) == {i for i in before if component[i] == i}
+            expected = brute_documents([(i, before[i].text) for i in some], 5)
+            assert all(component[i] <= c for i, c in expected.items())
+        elif name == "pii":
+            s = pii.Surrogates(pii.KEY)
+            assert {i: r.text for i, r in rows.items()} == {i: s.replaced(r.text)[0] for i, r in before.items()}
+        if name in ("lines", "pii"):
+            assert all(r.n_chars == len(r.text) for r in rows.values())
+        docs = after
+    assert k == len(corpus_pipeline.STAGES) - 1
+
+
+def test_pipeline_takes_empty_and_odd_tables(spark, odd_rows, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("odd", [(i, t, None, None, None) for i, t in odd_rows])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        assert corpus_pipeline.run(spark, folder).count() == 0  # with no labels no document reaches the threshold
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            docs = common.stored(stage(spark, docs, folder))
+        assert (docs.count() > 0) == bool(rows)
