@@ -22,7 +22,7 @@ from bitloom.llm import common
 from bitloom.llm.common import cells, maybe
 
 PERCENT, LEAST = 80, 5
-CELLS, SHARED = 1 << 20, 3
+CELLS, SHARED = 1 << 19, 3
 
 
 def _tokens(text: Column) -> Column:
@@ -30,16 +30,21 @@ def _tokens(text: Column) -> Column:
 
 
 def _ranks(texts: DataFrame) -> Column:
-    """An array with the rarity of each cell: a logarithm of how many tokens of the corpus fall into it, in the high bits.
+    """An array with the rarity of each cell: a logarithm of how many tokens of the corpus fall into it.
 
-    It is a scalar subquery, of a row of CELLS longs.
+    Its text has under 3 bytes a cell, and only the plan that makes the postings holds it.
     """
     token = F.explode(_tokens(F.replace("text", F.lit("\n"), F.lit(" "))))
-    counts = texts.select(token.alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(CELLS)).cast("long").alias("cell")).agg(F.count("*").alias("n"))
-    counts = common.stored(counts.select("cell", F.shiftleft(F.floor(F.log2("n") * 4).cast("long"), 55).alias("rank")))
-    every = texts.sparkSession.range(0, CELLS, 1, 1).join(counts, F.col("id") == F.col("cell"), "left")
-    row = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("rank", F.lit(0)).alias("rank")))).alias("r"))
-    return row.select(F.col("r.rank")).scalar()
+    counts = texts.select(token.alias("t")).select(_cell(F.xxhash64("t")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    found = counts.select("cell", F.floor(F.log2("n") * 2).cast("int")).toArrow()
+    ranks = [0] * CELLS
+    for cell, rank in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        ranks[cell] = rank
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+
+
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
@@ -51,7 +56,7 @@ def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> Data
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     hashed = lines.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
     words = F.array_remove(F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    key = lambda h: F.get(ranks, F.pmod(h, F.lit(CELLS)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 9))
+    key = lambda h: F.shiftleft(F.get(ranks, _cell(h)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
     keyed = hashed.select("doc_id", "pos", "h", "g", words.alias("words")).where(F.size("words") >= least)
     keyed = keyed.select("doc_id", "pos", "h", "g", F.size("words").alias("n"), F.sort_array(F.transform("words", key)).alias("keys"))
     prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + SHARED)
