@@ -54,6 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared scratch folder and read again: its lineage is cut and it survives lost executors."""
     path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of jobs that are done
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,14 +4,14 @@ A line's set holds its distinct lower-case tokens (what spaces separate). Lines
 |union|; a line goes if it matches one that stands earlier, by document id and then by place. Lines of fewer than LEAST
 tokens stay.
 
-Tokens are ordered by rarity, by counts in a table of CELLS cells, and then by hash. Matching lines share a token in their
-prefixes of n - ceil(n * PERCENT / 100) + 1 tokens (the prefix filter), so lines are posted under those only. Pairs in a
-posting list must pass the length filter, the positional filter, and a bound on what their sets do not share: tokens
-fall into PARTS parts by hash, and the sets' counts by part differ by no more than the sets. The full token sets of the few
-pairs that are left are compared.
-
-Equal lines count as one. A posting list of more than LONG lines is first joined to its earliest line alone, which settles
-large groups of near copies in linear work; only lines that are not settled so meet the other earlier lines of such lists.
+Tokens are ordered by rarity, by counts in a table of CELLS cells, and then by hash. Matching lines share SHARED tokens or
+more in their prefixes of n - ceil(n * PERCENT / 100) + SHARED tokens (the prefix filter, extended), so lines are posted
+under those only. Pairs in a posting list must pass the length filter, the positional filter, and a bound on what their
+sets do not share: tokens fall into PARTS parts by hash, and the sets' counts by part differ by no more than the sets. Pairs
+that share fewer than SHARED prefix tokens go. The full token sets of the few that are left are compared.
+
+Equal lines count as one. Each posting list is first joined to its earliest line alone, which settles large groups of near
+copies in linear work; only lines that are not settled so meet the other earlier lines of their lists.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from bitloom.llm import common
 from bitloom.llm.common import cells, maybe
 
 PERCENT, LEAST = 80, 5
-CELLS, PARTS, LONG = 1 << 19, 8, 64
+CELLS, SHARED, PARTS = 1 << 19, 3, 8
 
 
 def _tokens(text: Column) -> Column:
@@ -50,6 +50,8 @@ def _cell(h: Column) -> Column:
 
 def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """(doc_id, pos): the lines to be removed. docs has doc_id and text."""
+    if -(-least * percent // 100) < SHARED:
+        raise ValueError(f"lines of {least} tokens match with fewer than {SHARED} shared")
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     ranks = _ranks(texts)
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -58,22 +60,19 @@ def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> Data
     key = lambda h: F.shiftleft(F.get(ranks, _cell(h)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
     keyed = hashed.select("doc_id", "pos", "h", "g", words.alias("words")).where(F.size("words") >= least)
     keyed = keyed.select("doc_id", "pos", "h", "g", F.size("words").alias("n"), _parts(F.col("words")).alias("parts"), F.sort_array(F.transform("words", key)).alias("keys"))
-    prefix = F.transform(F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1), lambda k: F.hash(k))
+    prefix = F.transform(F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + SHARED), lambda k: F.hash(k))
     first = F.min(F.struct("doc_id", "pos", "n", "parts", prefix.alias("prefix"))).alias("f")
     whole = common.stored(keyed.groupBy("h", "g").agg(first, F.count("*").alias("copies")).select("h", "g", "f.*", "copies"))
     repeated = whole.where("copies > 1").select("h", "g", F.col("doc_id").alias("d"), F.col("pos").alias("p"))
     copies = hashed.select("doc_id", "pos", "h", "g").join(repeated, ["h", "g"]).where("doc_id <> d or pos <> p").select("doc_id", "pos")
 
-    posted = whole.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "pos", "n", "parts").repartition("token")
-    lists = posted.join(posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash"), "token")
-    short, long = lists.where(F.col("size") <= LONG), common.stored(lists.where(F.col("size") > LONG))
-    heads = long.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "at", "parts")).alias("h"))
-    heads = heads.select("token", *(F.col(f"h.{c}").alias(e) for c, e in _EARLIER.items()))
-    settled = common.stored(_verified(texts, _filtered(long.join(heads, "token"), percent), percent))
-    earlier = lambda t: t.select("token", *(F.col(c).alias(e) for c, e in _EARLIER.items()))
-    pairs = _filtered(short.join(earlier(short).hint("shuffle_hash"), "token"), percent)
-    open_ = long.join(settled, ["doc_id", "pos"], "left_anti")
-    others = _verified(texts, pairs.unionAll(_filtered(open_.join(earlier(long), "token"), percent)).distinct(), percent)
+    posted = lambda lines: lines.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "pos", "n", "parts")
+    earlier = lambda t, at: t.select("token", *(F.col(f"{at}{c}").alias(e) for c, e in _EARLIER.items()))
+    dealt = posted(whole).repartition("token")
+    heads = dealt.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "at", "parts")).alias("h"), F.count("*").alias("size")).where("size > 1")
+    settled = common.stored(_verified(texts, _filtered(dealt.join(earlier(heads, "h.").hint("merge"), "token"), percent), percent))
+    open_ = posted(whole.join(settled, ["doc_id", "pos"], "left_anti"))
+    others = _verified(texts, _filtered(open_.join(earlier(posted(whole), "").hint("merge"), "token"), percent), percent)
     return copies.unionAll(settled).unionAll(others).distinct()
 
 
@@ -104,7 +103,8 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
     for k in range(PARTS):
         apart = apart + F.abs(lane("parts", k) - lane("q", k))
     near = F.coalesce(apart <= F.col("n") + F.col("m") - 2 * need, F.lit(True))  # of long lines the parts are null
-    return pairs.where(earlier & (small * 100 >= large * percent) & (most >= need) & near).select("doc_id", "pos", "d", "p").distinct()
+    found = pairs.where(earlier & (small * 100 >= large * percent) & (most >= need) & near)
+    return found.groupBy("doc_id", "pos", "d", "p").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).drop("shared")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

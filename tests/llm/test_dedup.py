@@ -171,9 +171,7 @@ def brute_lines(rows, percent=lines.PERCENT, least=lines.LEAST):
     return [(i, t if i is None or t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)) for i, t in rows]
 
 
-@pytest.mark.parametrize("long", [lines.LONG, 3])
-def test_lines_equal_brute_force(spark, monkeypatch, long):
-    monkeypatch.setattr(lines, "LONG", long)
+def test_lines_equal_brute_force(spark):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(150)]
     lists = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 30))] for _ in range(60)]
@@ -202,3 +200,8 @@ def test_line_edge_rows(odd, odd_rows, none):
 def test_lines_stay_in_the_jvm(spark, small):
     plan = queries.op10_lines(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_lines_of_too_few_tokens_are_refused(odd):
+    with pytest.raises(ValueError):
+        lines.dedup(odd, least=2)
