@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -54,7 +55,9 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared scratch folder and read again: its lineage is cut and it survives lost executors."""
     path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of jobs that are done
+    # lets Spark's cleaner delete the shuffle files of jobs that are done, once nothing in Python or the JVM refers to them
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

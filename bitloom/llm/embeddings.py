@@ -98,7 +98,8 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, id_col: str = "vec_i
     spark = vectors.sparkSession
     common.small_batches(spark)
     reach = float(np.sqrt(2 - 2 * link))
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"), F.col(label_col).alias("label"))
+    kind = "array<float>" if vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("x"), F.col(label_col).alias("label"))
     odd = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     fit = v.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & ~odd & F.exists("x", lambda c: c != 0))
     groups = common.stored(fit.distinct().groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
@@ -134,10 +135,10 @@ def _links(groups: DataFrame, link: float, reach: float, sample: int) -> DataFra
         for b in batches:
             x = _unit(b["x"])
             home, codes, error, probes = index.assign(x, reach)
-            yield pd.DataFrame({"rep": b["rep"], "copies": b["copies"], "label": b["label"], "x": list(x), "home": home, "codes": [c.tobytes() for c in codes], "error": error, "probes": probes})
+            yield pd.DataFrame({"rep": b["rep"], "copies": b["copies"], "label": b["label"], "x": b["x"], "home": home, "codes": [c.tobytes() for c in codes], "error": error, "probes": probes})
 
-    label = groups.schema["label"].dataType.simpleString()
-    told = common.stored(groups.mapInPandas(assign, f"rep long, copies long, label {label}, x array<double>, home int, codes binary, error double, probes array<int>"))
+    label, kind = (groups.schema[c].dataType.simpleString() for c in ("label", "x"))
+    told = common.stored(groups.mapInPandas(assign, f"rep long, copies long, label {label}, x {kind}, home int, codes binary, error double, probes array<int>"))
     asked = told.select("rep", "label", "x", F.explode("probes").alias("list"))
     entries = told.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     chunks = asked.groupBy("label", "list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
@@ -150,7 +151,7 @@ def _links(groups: DataFrame, link: float, reach: float, sample: int) -> DataFra
     def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or held.empty:
             return pd.DataFrame({"node": [], "links": [], "other": []})
-        q, y = np.stack(asked["x"].to_numpy()), np.stack(held["x"].to_numpy())
+        q, y = _unit(asked["x"]), _unit(held["x"])
         codes = np.stack([np.frombuffer(c, np.uint8) for c in held["codes"]])
         i, j = index.near(q, int(held["list"].iloc[0]), codes, held["error"].to_numpy(), reach)
         a, b = asked["rep"].to_numpy(np.int64), held["rep"].to_numpy(np.int64)

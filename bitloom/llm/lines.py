@@ -68,7 +68,7 @@ def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> Data
 
     posted = lambda lines: lines.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "pos", "n", "parts")
     earlier = lambda t, at: t.select("token", *(F.col(f"{at}{c}").alias(e) for c, e in _EARLIER.items()))
-    dealt = posted(whole).repartition("token")
+    dealt = posted(whole).where("token is not null").repartition("token")  # one exchange for both uses
     heads = dealt.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "at", "parts")).alias("h"), F.count("*").alias("size")).where("size > 1")
     settled = common.stored(_verified(texts, _filtered(dealt.join(earlier(heads, "h.").hint("merge"), "token"), percent), percent))
     open_ = posted(whole.join(settled, ["doc_id", "pos"], "left_anti"))

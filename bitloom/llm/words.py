@@ -45,11 +45,16 @@ class WordIds(dict):
 
     def ids(self, words: list[list[bytes]]) -> list[bytes]:
         """The joined ids of each list of words."""
-        distinct = set().union(*words)
-        if len(self) + len(distinct) > self.cached:
+        found = [list(map(self.get, w)) for w in words]
+        gaps = [[k for k, ids in enumerate(f) if ids is None] for f in found]
+        new = {w[k] for w, g in zip(words, gaps, strict=True) for k in g}
+        if len(self) + len(new) > self.cached:
             self.clear()
-        self._learn([w for w in distinct if w not in self])
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        self._learn(list(new))
+        for w, f, g in zip(words, found, gaps, strict=True):
+            for k in g:
+                f[k] = self[w[k]]
+        return [b"".join(f) for f in found]
 
     def _learn(self, new: list[bytes]) -> None:
         stems, tails, parts = set(), set(), []
