@@ -16,6 +16,8 @@ copies in linear work; only lines that are not settled so meet the other earlier
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from bitloom.llm import common
 from bitloom.llm.common import cells, maybe
 
 PERCENT, LEAST = 80, 5
+#: Slices of the tokens that are joined one after the other.
+SLICES = 3
 CELLS, SHARED, PARTS = 1 << 19, 3, 8
 
 
@@ -70,9 +74,14 @@ def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> Data
     earlier = lambda t, at: t.select("token", *(F.col(f"{at}{c}").alias(e) for c, e in _EARLIER.items()))
     dealt = posted(whole).where("token is not null").repartition("token")  # one exchange for both uses
     heads = dealt.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "at", "parts")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    settled = common.stored(_verified(texts, _filtered(dealt.join(earlier(heads, "h.").hint("merge"), "token"), percent), percent))
-    open_ = posted(whole.join(settled, ["doc_id", "pos"], "left_anti"))
-    others = _verified(texts, _filtered(open_.join(earlier(posted(whole), "").hint("merge"), "token"), percent), percent)
+    stars = _filtered(dealt.join(earlier(heads, "h.").hint("merge"), "token"), percent)
+    settled = common.stored(_verified(texts, _enough(stars), percent))
+    open_ = whole.join(settled, ["doc_id", "pos"], "left_anti")
+    found = []
+    for k in range(SLICES):  # one after the other, for less disk
+        x, y = (posted(t).where(F.pmod("token", F.lit(SLICES)) == k) for t in (open_, whole))
+        found.append(common.stored(_filtered(x.join(earlier(y, "").hint("merge"), "token"), percent)))
+    others = _verified(texts, _enough(reduce(DataFrame.unionAll, found)), percent)
     return copies.unionAll(settled).unionAll(others).distinct()
 
 
@@ -104,7 +113,12 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
         apart = apart + F.abs(lane("parts", k) - lane("q", k))
     near = F.coalesce(apart <= F.col("n") + F.col("m") - 2 * need, F.lit(True))  # of long lines the parts are null
     found = pairs.where(earlier & (small * 100 >= large * percent) & (most >= need) & near)
-    return found.groupBy("doc_id", "pos", "d", "p").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).drop("shared")
+    return found.groupBy("doc_id", "pos", "d", "p").agg(F.count("*").alias("shared"))
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """The pairs that share SHARED prefix tokens."""
+    return pairs.groupBy("doc_id", "pos", "d", "p").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED).drop("shared")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
