@@ -108,10 +108,11 @@ def maybe(rows: DataFrame, found: DataFrame, columns: list[str], how: str = "lef
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not in gone. Only rows that may be concerned are shuffled."""
-    gone = stored(gone.select(key).distinct())
+    gone = stored(gone.select(F.col(key).alias("key")).distinct())
+    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(f"`{key}`").alias("key"))
     found = cells(gone)
-    some = maybe(rows, found, [key])
-    return maybe(rows, found, [key], "left_anti").unionAll(some.join(gone.hint("shuffle_hash"), key, "left_anti").select(*rows.columns))
+    some = maybe(packed, found, ["key"]).join(gone.hint("shuffle_hash"), "key", "left_anti").select("row")
+    return maybe(packed, found, ["key"], "left_anti").select("row").unionAll(some).select("row.*")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -48,6 +48,14 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_without(odd, odd_rows, none):
+    gone = odd.sparkSession.createDataFrame([(2,), (2,), (9,), (999,)], "doc_id long")
+    found = common.without(odd, gone, "doc_id")
+    assert found.columns == odd.columns and {r.part for r in found.collect()} == {"extra"}
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(r for r in odd_rows if r[0] not in (2, 9))
+    assert common.without(none, gone, "doc_id").count() == 0
+
+
 # vectors
 
 
