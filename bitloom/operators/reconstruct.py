@@ -44,7 +44,7 @@ def error(tensor: DataFrame, dims: Dims, masks: dict[str, DataFrame], core: Data
     """
     _, h = mk.statistics(tensor.limit(0), dims, masks, 1, core)
     rows = mk.histogram(masks["i"])
-    size = rows.join(F.broadcast(h), F.col("m").bitwiseAND(F.col("w")) != 0).agg(F.coalesce(F.sum(F.col("n") * F.col("h")), F.lit(0)).cast("long").alias("recon_nnz"))
+    size = h.join(mk.bounded(rows, dims.i), F.col("m").bitwiseAND(F.col("w")) != 0).agg(F.coalesce(F.sum(F.col("n") * F.col("h")), F.lit(0)).cast("long").alias("recon_nnz"))
     hits = contains(tensor, dims, masks, core).agg(F.count("*").alias("nnz"), F.count_if("has").alias("hits"))
     wrong = F.col("nnz") + F.col("recon_nnz") - 2 * F.col("hits")
     both = hits.join(F.broadcast(size), F.lit(True))  # one row each

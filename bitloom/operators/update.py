@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from bitloom.functions import bits, draw
 
 
-def deltas(masks: DataFrame, s: DataFrame, h: DataFrame, r: int) -> DataFrame:
+#: Columns up to which H, of at most one row for each mask, is broadcast: 2 ** 20 rows of 16 bytes.
+SMALL_RANK = 20
+
+
+def deltas(masks: DataFrame, s: DataFrame, h: DataFrame, r: int, rank: int = SMALL_RANK) -> DataFrame:
     """(idx, m, d): the error with bit r set less that without it, everything else fixed.
 
     d sums H(w) - 2 * S(row, w) over the masks w that have bit r and share no other bit with the row. The part of H depends on
@@ -17,7 +21,8 @@ def deltas(masks: DataFrame, s: DataFrame, h: DataFrame, r: int) -> DataFrame:
     bit = F.lit(1 << r).cast("long")
     decides = lambda m: (F.col("w").bitwiseAND(bit) != 0) & (m.bitwiseAND(F.col("w")).bitwiseAND(F.bitwise_not(bit)) == 0)
     kinds = masks.select("m").distinct()
-    base = kinds.join(F.broadcast(h.where(F.col("w").bitwiseAND(bit) != 0)), decides(F.col("m")), "left").groupBy("m").agg(F.coalesce(F.sum("h"), F.lit(0)).cast("long").alias("all"))
+    own = h.where(F.col("w").bitwiseAND(bit) != 0)
+    base = kinds.join(F.broadcast(own) if rank <= SMALL_RANK else own, decides(F.col("m")), "left").groupBy("m").agg(F.coalesce(F.sum("h"), F.lit(0)).cast("long").alias("all"))
     hit = s.join(masks, F.col("row") == F.col("idx")).where(decides(F.col("m"))).groupBy("idx").agg(F.sum("cnt").cast("long").alias("ones"))
     return masks.join(base, "m").join(hit, "idx", "left").select("idx", "m", (F.col("all") - 2 * F.coalesce("ones", F.lit(0))).alias("d"))
 
@@ -42,9 +47,9 @@ def capped(chosen: DataFrame, rows: int, most_zeros: float) -> DataFrame:
     return ranked.select("idx", "m", "d", F.when((F.col("bit") == 0) & (F.col("k") <= F.col("n") - most), 1).otherwise(F.col("bit")).alias("bit"))
 
 
-def column_update(masks: DataFrame, s: DataFrame, h: DataFrame, r: int, rows: int, most_zeros: float = 1.0, tie: Column | None = None) -> DataFrame:
+def column_update(masks: DataFrame, s: DataFrame, h: DataFrame, r: int, rows: int, most_zeros: float = 1.0, tie: Column | None = None, rank: int = SMALL_RANK) -> DataFrame:
     """(idx, d, old, bit, m): the chosen bit r of each row, and the row with it."""
-    found = deltas(masks, s, h, r)
+    found = deltas(masks, s, h, r, rank)
     found = found.withColumn("bit", choice(F.col("d"), F.lit(0) if tie is None else tie))
     if most_zeros < 1:
         found = capped(found, rows, most_zeros)

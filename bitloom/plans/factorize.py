@@ -92,7 +92,7 @@ def _large(s: DataFrame, h: DataFrame, masks: DataFrame, rows: int, rank: int, c
     delta = changes = 0
     for r in range(rank):
         tie = update.tie_draw(config.seed or 0, config.zero_probability, F.col("idx"), iteration, mode, r)
-        new = _cut(update.column_update(masks, s, h, r, rows, config.most_zeros, tie))
+        new = _cut(update.column_update(masks, s, h, r, rows, config.most_zeros, tie, rank))
         found = update.column_delta(new).first()
         delta, changes, masks = delta + (found["delta"] or 0), changes + (found["bit_updates"] or 0), new.select("idx", "m")
     return masks, delta, changes
