@@ -7,8 +7,8 @@ tokens stay.
 Tokens are ordered by rarity, by counts in a table of CELLS cells, and then by hash. Matching lines share SHARED tokens or
 more in their prefixes of n - ceil(n * PERCENT / 100) + SHARED tokens (the prefix filter, extended), so lines are posted
 under those only. Pairs in a posting list must pass the length filter, the positional filter, and a bound on what their
-sets do not share: tokens fall into PARTS parts by hash, and the sets' counts by part differ by no more than the sets. Pairs
-that share fewer than SHARED prefix tokens go. The full token sets of the few that are left are compared.
+sets do not share: a token flips one of 64 bits, so the bits of two lines differ in no more places than the lines have
+tokens alone. Pairs that share fewer than SHARED prefix tokens go. The full token sets of the few that are left are compared.
 
 Equal lines count as one. Each posting list is first joined to its earliest line alone, which settles large groups of near
 copies in linear work; only lines that are not settled so meet the other earlier lines of their lists.
@@ -27,7 +27,7 @@ from bitloom.llm.common import cells, maybe
 PERCENT, LEAST = 80, 5
 #: Slices of the tokens that are joined one after the other.
 SLICES = 3
-CELLS, SHARED, PARTS = 1 << 19, 3, 8
+CELLS, SHARED = 1 << 17, 3
 
 
 def _tokens(text: Column) -> Column:
@@ -63,17 +63,17 @@ def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> Data
     words = F.array_remove(F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
     key = lambda h: F.shiftleft(F.get(ranks, _cell(h)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
     keyed = hashed.select("doc_id", "pos", "h", "g", words.alias("words")).where(F.size("words") >= least)
-    keyed = keyed.select("doc_id", "pos", "h", "g", F.size("words").alias("n"), _parts(F.col("words")).alias("parts"), F.sort_array(F.transform("words", key)).alias("keys"))
+    keyed = keyed.select("doc_id", "pos", "h", "g", F.size("words").alias("n"), _parity(F.col("words")).alias("bits"), F.sort_array(F.transform("words", key)).alias("keys"))
     prefix = F.transform(F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + SHARED), lambda k: F.hash(k))
-    first = F.min(F.struct("doc_id", "pos", "n", "parts", prefix.alias("prefix"))).alias("f")
+    first = F.min(F.struct("doc_id", "pos", "n", "bits", prefix.alias("prefix"))).alias("f")
     whole = common.stored(keyed.groupBy("h", "g").agg(first, F.count("*").alias("copies")).select("h", "g", "f.*", "copies"))
     repeated = whole.where("copies > 1").select("h", "g", F.col("doc_id").alias("d"), F.col("pos").alias("p"))
     copies = hashed.select("doc_id", "pos", "h", "g").join(repeated, ["h", "g"]).where("doc_id <> d or pos <> p").select("doc_id", "pos")
 
-    posted = lambda lines: lines.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "pos", "n", "parts")
+    posted = lambda lines: lines.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "pos", "n", "bits")
     earlier = lambda t, at: t.select("token", *(F.col(f"{at}{c}").alias(e) for c, e in _EARLIER.items()))
     dealt = posted(whole).where("token is not null").repartition("token")  # one exchange for both uses
-    heads = dealt.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "at", "parts")).alias("h"), F.count("*").alias("size")).where("size > 1")
+    heads = dealt.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "at", "bits")).alias("h"), F.count("*").alias("size")).where("size > 1")
     stars = _filtered(dealt.join(earlier(heads, "h.").hint("merge"), "token"), percent)
     settled = common.stored(_verified(texts, _enough(stars), percent))
     open_ = whole.join(settled, ["doc_id", "pos"], "left_anti")
@@ -86,32 +86,22 @@ def matches(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> Data
 
 
 #: The names of an earlier line's columns beside those of a line.
-_EARLIER = {"doc_id": "d", "pos": "p", "n": "m", "at": "b", "parts": "q"}
+_EARLIER = {"doc_id": "d", "pos": "p", "n": "m", "at": "b", "bits": "q"}
 
 
-def _parts(words: Column) -> Column:
-    """How many of the hashes fall into each part, up to 15, as 4 bits each of an int."""
-    ones = F.array(*(F.lit(1 << 8 * k).cast("long") for k in range(PARTS)))
-    counts = F.aggregate(words, F.lit(0).cast("long"), lambda a, h: a + F.get(ones, h.bitwiseAND(F.lit(PARTS - 1)).cast("int")))
-    lanes = [F.least(F.shiftright(counts, 8 * k).bitwiseAND(F.lit(255)), F.lit(15)) for k in range(PARTS)]
-    total = lanes[0]
-    for k in range(1, PARTS):
-        total = total.bitwiseOR(F.shiftleft(lanes[k], 4 * k))
-    return F.when(F.size(words) < 128, total.cast("long"))
+def _parity(words: Column) -> Column:
+    """A long of which each hash flips one bit."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a line (doc_id, pos, with n tokens, token at, parts) and an earlier one (d, p, m, b, q) that may match. Two
+    """Pairs of a line (doc_id, pos, with n tokens, token at, bits) and an earlier one (d, p, m, b, q) that may match. Two
     matching lines pass the positional filter at each token that they share."""
     need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     most = F.least("at", "b") + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b"))
     small, large = F.least("n", "m"), F.greatest("n", "m")
     earlier = (F.col("d") < F.col("doc_id")) | ((F.col("d") == F.col("doc_id")) & (F.col("p") < F.col("pos")))
-    lane = lambda c, k: F.shiftright(c, 4 * k).bitwiseAND(F.lit(15))
-    apart = F.lit(0)
-    for k in range(PARTS):
-        apart = apart + F.abs(lane("parts", k) - lane("q", k))
-    near = F.coalesce(apart <= F.col("n") + F.col("m") - 2 * need, F.lit(True))  # of long lines the parts are null
+    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("q"))) <= F.col("n") + F.col("m") - 2 * need
     found = pairs.where(earlier & (small * 100 >= large * percent) & (most >= need) & near)
     return found.groupBy("doc_id", "pos", "d", "p").agg(F.count("*").alias("shared"))
 
