@@ -124,11 +124,14 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Rules:
             total[at] += STEP * (y - p)[at].sum() / max((p * (1 - p))[at].sum(), 1e-3)
         total = np.clip(total, -8, 8)
     rules = list(paths)
-    z = np.stack([_holds(x, r) for r in rules], 1).astype(float) if rules else np.zeros((n, 0))
-    mean, scale = z.mean(0), np.maximum(z.std(0), 0.05)
-    z = (z - mean) / scale
+    z = np.stack([_holds(x, r) for r in rules], 1).astype(np.float32) if rules else np.zeros((n, 0), np.float32)
+    mean = z.mean(0, dtype=float)
+    scale = np.maximum(np.sqrt(mean * (1 - mean)), 0.05)
+    z -= mean.astype(np.float32)
+    z /= scale.astype(np.float32)
     w, b, v, vb, t = np.zeros(len(rules)), start, np.zeros(len(rules)), start, 1.0
-    rate = 4 / max(np.linalg.norm(z, 2) ** 2 / n + 1, 1.0)
+    largest = np.linalg.eigvalsh(z.T @ z / n)[-1] if rules else 0.0
+    rate = 4 / (float(largest) + 1)
     for _ in range(ROUNDS):
         g = 1 / (1 + np.exp(-(z @ v + vb))) - y
         new = v - rate * (z.T @ g) / n
