@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from bitloom.llm import common
 
 #: Rows of labelled documents that the model is fit on, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 TREES, DEPTH, LEAST, SHARE = 24, 3, 20, 0.5
 STEP, PENALTY, ROUNDS = 0.3, 0.002, 400
 THRESHOLD = 0.7
@@ -133,8 +133,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Rules:
     largest = np.linalg.eigvalsh(z.T @ z / n)[-1] if rules else 0.0
     rate = 4 / (float(largest) + 1)
     for _ in range(ROUNDS):
-        g = 1 / (1 + np.exp(-(z @ v + vb))) - y
-        new = v - rate * (z.T @ g) / n
+        g = 1 / (1 + np.exp(-(z @ v.astype(np.float32) + vb))) - y
+        new = v - rate * (g.astype(np.float32) @ z) / n
         new, new_b = np.sign(new) * np.maximum(np.abs(new) - rate * PENALTY, 0), vb - rate * g.mean()
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
