@@ -51,11 +51,16 @@ def remove_scratch() -> None:
     _made.clear()
 
 
+def free(spark: SparkSession) -> None:
+    """Collect garbage in Python and in the driver's JVM, which lets Spark's cleaner delete the shuffle files of jobs that are
+    done and gives heap back."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared scratch folder and read again: its lineage is cut and it survives lost executors."""
-    # lets Spark's cleaner delete the shuffle files of jobs that are done, once nothing in Python or the JVM refers to them
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    free(df.sparkSession)
     path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

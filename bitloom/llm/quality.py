@@ -145,6 +145,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Rules:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Rules:
     """Rules fit on at most sample labelled documents, drawn by a hash of their ids. Null labels are left out."""
+    common.free(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__y is not null and __id is not null")
     n = known.count()
     if n > sample:
@@ -152,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = F.broadcast(known.limit(sample))  # bounded by sample
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id")
     found = rows.select("__id", "__y", *(c.alias(k) for k, c in statistics(F.col("__text")).items())).toPandas().sort_values(["__id", "__y", *STATISTICS])
-    return fit(found[list(STATISTICS)].to_numpy(float), (found["__y"] > 0).to_numpy(float))
+    rules = fit(found[list(STATISTICS)].to_numpy(float), (found["__y"] > 0).to_numpy(float))
+    common.free(docs.sparkSession)
+    return rules
 
 
 def scored(docs: DataFrame, rules: Rules, text_col: str = "text", name: str = "score") -> DataFrame:
