@@ -1,10 +1,10 @@
 """Media columns: bytes stored as WAV sound, read back, and spectral-peak fingerprints.
 
 A payload becomes the samples of a mono 8-bit WAV file, written and read by the wave module. Of the samples read back,
-a short-time Fourier transform (Hann window of FRAME samples, every HOP samples) gives a spectrum for each frame. In each
-band of BANDS the strongest bin is a peak if it stands above the mean of its spectrum. Each peak is paired with the
-strongest peak of each of the next FAN frames; a pair is stored as its time (the frame) and its code: both bins and
-the distance in frames.
+a short-time Fourier transform (Hann window of FRAME samples, centred on every HOP-th sample and on the end; beyond both
+ends the samples have their mean) gives a spectrum for each frame. In each band of BANDS the strongest bin is a peak if it
+stands above the mean of its spectrum. Each peak is paired with the peaks of all bands in each of the next FAN frames; a
+pair is stored as its time (the frame) and its code: both bins and the distance in frames.
 """
 
 from __future__ import annotations
@@ -52,12 +52,17 @@ def read_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def framed(samples: bytes) -> np.ndarray:
+    """The frames, as rows. No sample is further than HOP / 2 from the centre of a frame, so the window hides none."""
+    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    n = -(-len(x) // HOP) + 1
+    x = np.pad(x, (FRAME // 2, (n - 1) * HOP + FRAME // 2 - len(x)), constant_values=x.mean() if len(x) else 0)
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+
+
 def peaks(samples: bytes) -> np.ndarray:
     """The strongest bin of each band in each frame, or -1; a row for each frame."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    frames = framed(samples)
     window, found = np.hanning(FRAME).astype(np.float32), np.empty((len(frames), len(BANDS)), np.int32)
     for at in range(0, len(frames), BLOCK):
         spectrum = np.abs(np.fft.rfft(frames[at : at + BLOCK] * window, axis=1))
@@ -72,11 +77,10 @@ def peaks(samples: bytes) -> np.ndarray:
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Times and codes of the peak pairs, by time."""
     p = peaks(samples)
-    target = np.where(p[:, 0] >= 0, p[:, 0], p[:, 1])
     times, codes = [], []
     for dt in range(1, FAN + 1):
-        for b in range(len(BANDS)):
-            anchor, other = p[:-dt, b], target[dt:]
+        for b, c in np.ndindex(len(BANDS), len(BANDS)):
+            anchor, other = p[:-dt, b], p[dt:, c]
             t = np.flatnonzero((anchor >= 0) & (other >= 0))
             times.append(t)
             codes.append((anchor[t] << 16) | (other[t] << 4) | dt)

@@ -134,3 +134,21 @@ def test_fingerprint_finds_a_tone():
     assert (media.peaks(tone)[:, 0] == 20).all()
     times, codes = media.fingerprint(tone)
     assert len(times) and (codes >> 16 == 20).any()
+
+
+@pytest.mark.parametrize("units", [1, 2, 3, 7])
+def test_frames_cover_whole_texts(units):
+    text = b"A few plain words that a short text may hold, said again. " * 30
+    data = text[: units * media.UNIT]
+    frames = media.framed(data) * np.hanning(media.FRAME)
+    for at in (0, 1, len(data) // 2, len(data) - 2, len(data) - 1):
+        other = media.framed(data[:at] + bytes([data[at] ^ 16]) + data[at + 1 :]) * np.hanning(media.FRAME)
+        assert frames.shape == other.shape and np.abs(frames - other).max() > 2
+
+
+def test_short_texts_have_pairs_of_all_bands():
+    features = {tuple(map(bytes, media.fingerprint(media.payload(t)[1]))) for t in ("a short text", "another one", "x" * 300, "yz" * 150)}
+    assert len(features) == 4 and all(codes for _, codes in features)
+    p = media.peaks(bytes(range(32, 128)) * 20)
+    others = {(int(c) >> 4) & 0xFFF for c in media.fingerprint(bytes(range(32, 128)) * 20)[1]}
+    assert others == {int(b) for b in p[1:].ravel() if b >= 0}
