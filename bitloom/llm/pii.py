@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -63,6 +64,34 @@ _CAPITAL_PERSON = re.compile(rf"(?<!\w)(?:{'|'.join(_PERSON)})(?!\w)")
 SPANS = "array<struct<type:string,start:int,end:int,surrogate:string>>"
 
 
+def _kind(m: re.Match) -> str:
+    return next(k for k in PATTERNS if m.group(k) is not None)
+
+
+def _entities(text: str) -> Iterator[tuple[str, int, int, re.Match]]:
+    """Kind, start, end and match of each entity. What fails a check is searched again from its second character on."""
+    m = _PATTERN.search(text)
+    while m:
+        kind, at = _kind(m), m.end()
+        a, b = m.span({"secret": "value", "person": "names" if m["names"] else "listed"}.get(kind, kind))
+        if kind == "phone":
+            b = at = _phone_end(text, a, b)
+        if b is not None:
+            yield kind, a, b, m
+        m = _PATTERN.search(text, m.start() + 1 if at is None else at)
+
+
+def _phone_end(text: str, a: int, b: int) -> int | None:
+    """Where the phone number ends that starts the match: before the first entity that follows it within the match, or else
+    after as many groups as make 8 to 15 digits."""
+    ends = [e for e in (*(k for k in range(a + 1, b) if text[k] in " .-" and text[k - 1].isdecimal()), b) if 8 <= sum(c.isdecimal() for c in text[a:e]) <= 15]
+    for e in ends[:-1] if ends and ends[-1] == b else ends:
+        m = _PATTERN.match(text, e + 1)
+        if m and (_kind(m) != "phone" or _phone_end(text, *m.span())):
+            return e
+    return ends[-1] if ends else None
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
@@ -180,12 +209,8 @@ class Surrogates:
         if not _SOME.search(text) and not any(t in text for t in _PERSON) and not _CAPITAL_PERSON.search(text):
             return text, []
         out, spans, at, taken = [], [], 0, {}
-        for m in _PATTERN.finditer(text):
-            kind = next(k for k in PATTERNS if m.group(k) is not None)
-            a, b = m.span({"secret": "value", "person": "names" if m["names"] else "listed"}.get(kind, kind))
+        for kind, a, b, m in _entities(text):
             part = text[a:b]
-            if kind == "phone" and not 8 <= sum(c.isdecimal() for c in part) <= 15 or kind == "card" and not 13 <= sum(c.isdecimal() for c in part) <= 19:
-                continue
             if kind in ("secret", "hex", "key"):
                 is_hex = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", part)
                 new = self.shaped(part, "hex", "0123456789abcdef") if is_hex else self.shaped(part, "secret")

@@ -43,6 +43,20 @@ def test_entities_are_found_and_replaced_in_their_format(kind, text):
         assert shape(old) == shape(spans[0]["surrogate"])
 
 
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+1 415 555 0134", "+14155550134"])
+@pytest.mark.parametrize("other", ["190.137.223.204", "10.20.30.40", "4111 1111 1111 1111", "123-45-6789", "123456789", "555-123-4567", "(030) 123-4567", "12@example.com", "+49 30 1234 5678"])
+def test_adjacent_entities_are_each_replaced(phone, other):
+    alone = S.replaced(phone)[0], S.replaced(other)[0]
+    assert S.replaced(f"{phone} {other}")[0] == " ".join(alone) and phone != alone[0] and other != alone[1]
+    assert S.replaced(f"{other} {phone}")[0] == " ".join(alone[::-1])
+
+
+@pytest.mark.parametrize("text", ["+1 23 4111 1111 1111 1111", "+12 34 56 jo@example.com", "+1 (826) 555-4081 1234 5678 9012"])
+def test_search_goes_on_inside_what_fails_a_check(text):
+    new, spans = S.replaced(text)
+    assert spans and new != text and text[spans[0]["start"] : spans[0]["end"]] not in new
+
+
 def test_checks_of_cards_and_ibans_stay_right():
     for text in ("4111 1111 1111 1111", "5500005555555559"):
         new = S.card(text)
