@@ -58,9 +58,10 @@ PATTERNS = {
     "person": rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.?\s+(?P<names>{_NAME}(?:[ ]{_NAME}){{0,2}})|(?P<listed>(?:{_LISTED})(?:[ ]{_NAME}){{1,2}})(?!\w))",
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-_SOME = re.compile(r"[0-9@]")
+#: An entity has a digit, an "@", a title or a listed given name, or is one of the kinds that need none of these.
+_SOME = re.compile(r"[\d@]")
 _PERSON = [t for t in TITLES] + [n.capitalize() for names in NAMES.values() for n in names]
-_CAPITAL_PERSON = re.compile(rf"(?<!\w)(?:{'|'.join(_PERSON)})(?!\w)")
+_PLAIN = [re.compile(PATTERNS[k]) for k in ("secret", "key")]
 SPANS = "array<struct<type:string,start:int,end:int,surrogate:string>>"
 
 
@@ -206,7 +207,7 @@ class Surrogates:
 
     def replaced(self, text: str) -> tuple[str, list[dict]]:
         """The text with surrogates, and where entities stood in the original."""
-        if not _SOME.search(text) and not any(t in text for t in _PERSON) and not _CAPITAL_PERSON.search(text):
+        if not _SOME.search(text) and not any(t in text for t in _PERSON) and not any(p.search(text) for p in _PLAIN):
             return text, []
         out, spans, at, taken = [], [], 0, {}
         for kind, a, b, m in _entities(text):
