@@ -1,7 +1,8 @@
 """Surrogates for personal data: detected entities are replaced by made-up ones of the same type, script and format.
 
 An entity's normal form (case, and for numbers their separators, left out) is a number in a mixed-radix system: each
-position draws from the characters of its class (digits, vowels, consonants, by script). A keyed Feistel permutation p of
+position draws from the characters of its class (digits, vowels, consonants, by script; in scripts without such a table,
+the letters of the same block of code points). A keyed Feistel permutation p of
 that range gives the surrogate p^-1(p(x) + 1). It is a bijection without fixed points, so that equal entities get equal
 surrogates in all documents (coreference), different ones of a shape different surrogates (distinctness), and none keeps
 its own, with no table to share or to shuffle. Given names that are listed are permuted within the list of their gender
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -93,6 +96,32 @@ def _phone_end(text: str, a: int, b: int) -> int | None:
     return ends[-1] if ends else None
 
 
+#: Other letters and digits form classes of one category and script within so many neighbouring code points.
+_BLOCK = 128
+
+
+@cache
+def _block(k: int) -> dict[str, str]:
+    """The class of each character in lower case of a block; a character alone in its class is left out."""
+    found: dict[tuple[str, str], list[str]] = {}
+    for c in map(chr, range(k * _BLOCK, (k + 1) * _BLOCK)):
+        if c.isalnum() and (c.lower() == c or len(c.lower()) > 1) and not any(c in k for k in CLASSES):
+            found.setdefault((unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]), []).append(c)
+    return {c: "".join(group) for group in found.values() if len(group) > 1 for c in group}
+
+
+@cache
+def _single() -> str:
+    """The characters that are alone in their classes: a class of their own."""
+    lone = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and (c.lower() == c or len(c.lower()) > 1)]
+    return "".join(c for c in lone if not any(c in k for k in CLASSES) and c not in _block(ord(c) // _BLOCK))
+
+
+def _class(c: str) -> str | None:
+    """The characters, in lower case, that may stand for c; None if it is no letter or digit."""
+    return next((k for k in CLASSES if c in k), None) or (None if not c.isalnum() else _block(ord(c) // _BLOCK).get(c) or _single())
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
@@ -136,14 +165,14 @@ class Surrogates:
     def shaped(self, text: str, tweak: str, alphabet: str | None = None) -> str:
         """Each character becomes one of its class, in the case it has; others stay."""
         low = [c.lower() if len(c.lower()) == 1 else c for c in text]
-        kinds = [alphabet if alphabet and c in alphabet else next((k for k in CLASSES if c in k), None) for c in low]
+        kinds = [alphabet if alphabet and c in alphabet else _class(c) for c in low]
         at = [i for i, k in enumerate(kinds) if k]
-        shape = tweak + ":" + "".join(str(CLASSES.index(k)) if k in CLASSES else "x" for k in (kinds[i] for i in at))
+        shape = tweak + ":" + "".join(str(CLASSES.index(k)) if k in CLASSES else "x" if k == alphabet else k[0] for k in (kinds[i] for i in at))
         new = self._mixed([kinds[i].index(low[i]) for i in at], [len(kinds[i]) for i in at], shape.encode())
         out = list(text)
         for i, v in zip(at, new, strict=True):
             c = kinds[i][v]
-            out[i] = c.upper() if (text[i] != low[i] or alphabet and text.isupper()) and len(c.upper()) == 1 else c
+            out[i] = c.upper() if (text[i] != low[i] or alphabet and text.isupper()) and len(c.upper()) == 1 and c.upper().lower() == c else c
         return "".join(out)
 
     def digits(self, text: str, tweak: str, fixed: int = 0) -> str:
@@ -221,6 +250,8 @@ class Surrogates:
                 new = self.person(part, TITLES.get(m["title"] or "", ""), taken)
             else:
                 new = self.digits(part, "digits")
+            if new == part:  # nothing in it can change, as in 0.0.0.0
+                continue
             out += [text[at:a], new]
             spans.append({"type": kind, "start": a, "end": b, "surrogate": new})
             at = b

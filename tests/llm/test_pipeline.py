@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -63,6 +64,26 @@ def test_texts_without_ascii_digits_are_read(text):
     assert len(spans) == 1 and text[spans[0]["start"] : spans[0]["end"]] not in new and other == f"{new} on page 7"
 
 
+SCRIPTS = {"CJK": "李明", "ARABIC": "محمد", "HEBREW": "יוסף", "HANGUL": "김민준", "DEVANAGARI": "अमर", "KATAKANA": "タナカ", "ARMENIAN": "Արամ"}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_names_and_addresses_of_any_script_are_replaced(script):
+    name = SCRIPTS[script]
+    for kind, text in (("person", f"Mr {name}"), ("person", f"Dr {name}"), ("email", f"{name}@{name}.com")):
+        new, spans = S.replaced(f"so {text} said")
+        assert [s["type"] for s in spans] == [kind] and name not in new
+        letters = [c for c in spans[0]["surrogate"].removesuffix(".com") if c.isalpha()]
+        assert {unicodedata.name(c).split(" ")[0] for c in letters} == {script} and new == S.replaced(f"so {text} said")[0]
+
+
+def test_shapes_are_permuted_in_other_scripts():
+    letters = [chr(c) for c in range(0x5D0, 0x5EB)]
+    words = ["".join(p) for p in itertools.product(letters, repeat=2)] + ["ß", "þ", "ð", "ªa", "ſt", "Ⅷ", "ⅷ", "İ"]
+    found = [S.shaped(w, "t") for w in words]
+    assert len({f.lower() for f in found}) == len({w.lower() for w in words}) and all(f != w for f, w in zip(found, words, strict=True))
+
+
 def test_checks_of_cards_and_ibans_stay_right():
     for text in ("4111 1111 1111 1111", "5500005555555559"):
         new = S.card(text)
