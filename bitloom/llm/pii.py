@@ -6,8 +6,8 @@ the letters of the same block of code points). A keyed Feistel permutation p of
 that range gives the surrogate p^-1(p(x) + 1). It is a bijection without fixed points, so that equal entities get equal
 surrogates in all documents (coreference), different ones of a shape different surrogates (distinctness), and none keeps
 its own, with no table to share or to shuffle. Given names that are listed are permuted within the list of their gender
-and script; an unlisted one after a title that tells a gender gets a name of that gender. Such names are checked for
-collisions within the document and drawn anew; collisions() checks a corpus.
+and script; an unlisted one after a title that tells a gender gets a name of that gender with a hyphen before its own
+surrogate, so that names of different persons differ in all documents. collisions() checks a corpus.
 """
 
 from __future__ import annotations
@@ -122,6 +122,13 @@ def _class(c: str) -> str | None:
     return next((k for k in CLASSES if c in k), None) or (None if not c.isalnum() else _block(ord(c) // _BLOCK).get(c) or _single())
 
 
+def _head(name: str) -> str:
+    return name.split("-")[0]
+
+
+_HEADS = {n: k for k, names in NAMES.items() for n in names}
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
@@ -211,34 +218,32 @@ class Surrogates:
         check = _iban_check(new) if int(text[2:4]) == _iban_check(text) else text[2:4]
         return f"{new[:2]}{check:0>2}{new[4:]}"
 
-    def person(self, names: str, gender: str, taken: dict[str, str]) -> str:
-        """Given name and surnames; taken holds what the document's surrogates stand for."""
-        normal, attempt = names.lower(), 0
-        while True:
-            first, *rest = names.split(" ")
-            low, script = first.lower(), "cyrillic" if re.match(r"[Ѐ-ӿ]", first) else "latin"
-            if rest:
-                listed = next(((k, n) for k, n in NAMES.items() if low in n and gender in ("", k[1])), None)
-                if listed:
-                    new = listed[1][self.number(listed[1].index(low), len(listed[1]), repr(listed[0]).encode())]
-                elif gender:
-                    own = [n for n in NAMES[script, gender] if n != low]
-                    new = own[self._round(low.encode(), attempt % 200 + 20, 0, 32) % len(own)]
-                else:
-                    new = self.shaped(low, "given")
-                given = [new.upper() if first.isupper() else new.capitalize()]
-            else:
-                given, rest = [], [first]
-            found = " ".join([*given, *(self.shaped(n, f"surname{attempt or ''}") for n in rest)])
-            if taken.setdefault(found.lower(), normal) == normal and found.lower() != normal:
-                return found
-            attempt += 1
+    def person(self, names: str, gender: str) -> str:
+        """Given name and surnames. A listed given name stays in its list. Another one becomes one that is not listed; if its
+        gender is known, a listed name goes before it, with a hyphen."""
+        first, *rest = names.split(" ")
+        if not rest:
+            return self.shaped(first, "surname")
+        low = first.lower()
+        listed = next(((k, n) for k, n in NAMES.items() if low in n and gender in ("", k[1])), None)
+        if listed:
+            new = listed[1][self.number(listed[1].index(low), len(listed[1]), repr(listed[0]).encode())]
+        else:
+            new = self.shaped(low, "given")
+            script, head = unicodedata.name(first[0], "").split(" ")[0].lower(), _HEADS.get(_head(low))
+            own = NAMES.get((script, gender), head and NAMES[head])
+            if own:
+                new = f"{own[self._round(low.encode(), 20, 0, 32) % len(own)]}-{new}"
+            while not own and _head(new) in _HEADS:  # a permutation of the names without a listed head
+                new = self.shaped(new, "given")
+        given = new.upper() if first.isupper() else "-".join(p.capitalize() for p in new.split("-"))
+        return " ".join([given, *(self.shaped(n, "surname") for n in rest)])
 
     def replaced(self, text: str) -> tuple[str, list[dict]]:
         """The text with surrogates, and where entities stood in the original."""
         if not _SOME.search(text) and not any(t in text for t in _PERSON) and not any(p.search(text) for p in _PLAIN):
             return text, []
-        out, spans, at, taken = [], [], 0, {}
+        out, spans, at = [], [], 0
         for kind, a, b, m in _entities(text):
             part = text[a:b]
             if kind in ("secret", "hex", "key"):
@@ -247,7 +252,7 @@ class Surrogates:
             elif kind in ("email", "iban", "ip", "card"):
                 new = getattr(self, kind)(part)
             elif kind == "person":
-                new = self.person(part, TITLES.get(m["title"] or "", ""), taken)
+                new = self.person(part, TITLES.get(m["title"] or "", ""))
             else:
                 new = self.digits(part, "digits")
             if new == part:  # nothing in it can change, as in 0.0.0.0

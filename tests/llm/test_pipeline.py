@@ -70,7 +70,7 @@ SCRIPTS = {"CJK": "李明", "ARABIC": "محمد", "HEBREW": "יוסף", "HANGUL"
 @pytest.mark.parametrize("script", SCRIPTS)
 def test_names_and_addresses_of_any_script_are_replaced(script):
     name = SCRIPTS[script]
-    for kind, text in (("person", f"Mr {name}"), ("person", f"Dr {name}"), ("email", f"{name}@{name}.com")):
+    for kind, text in (("person", f"Mr {name}"), ("person", f"Dr {name}"), ("person", f"Mrs {name} {name}"), ("email", f"{name}@{name}.com")):
         new, spans = S.replaced(f"so {text} said")
         assert [s["type"] for s in spans] == [kind] and name not in new
         letters = [c for c in spans[0]["surrogate"].removesuffix(".com") if c.isalpha()]
@@ -102,6 +102,18 @@ def test_gender_script_and_coreference():
     assert text.count("Smith") == 0 and len({n.lower() for n in names[:2]}) == 2
 
 
+def test_persons_stay_different_and_the_same_in_all_documents(spark):
+    given = [f"{a}{b}{c}" for a in "BKZ" for b in "aeiou" for c in "dklmnprst"] + ["John", "Karl", "Peter", "Mary", "Hans-Peter", "Karl-Bad"]
+    names = [f"{t} {g} Jones" for t in ("Mr", "Dr") for g in given] + [f"Mrs {g} Jones" for g in ("Anna", "Mary", "Zuz")]
+    alone = {n: S.replaced(n)[0] for n in names}
+    same = {(n.split(" ")[1], s.split(" ", 1)[1].lower()) for n, s in alone.items()}
+    assert len({s for _, s in same}) == len(same) and all(n.split(" ")[1] != s.split(" ")[1] for n, s in alone.items())
+    assert S.replaced(". ".join(names))[0] == ". ".join(alone.values())
+    assert all(alone[f"Mr {g} Jones"].split(" ")[1].split("-")[0].lower() in pii.NAMES["latin", "m"] for g in given)
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "doc_id long, text string")
+    assert pii.collisions(rows, b"a key").count() == 0
+
+
 def test_different_entities_stay_different(spark):
     numbers = [f"{a:03d}-{b:02d}-{c:04d}" for a, b, c in itertools.product((0, 123, 900), (10, 11), range(60))]
     found = [S.replaced(n)[0] for n in numbers]
