@@ -2,13 +2,15 @@
 
 All training documents are counted: words, and neighbouring pairs of units. A unit is one of the UNITS most frequent words,
 or all other words whose last three bytes fall into one of ENDINGS cells. The exchange algorithm moves units between
-CLASSES classes as long as that raises the likelihood of the class bigrams, so each word has a class. A text's
+CLASSES classes as long as that raises the likelihood of the class bigrams. Each other word of the training documents then
+goes to the class that its own counts of neighbouring classes make the most likely; only words that training has not seen
+have the class of their ending. The transitions are counted anew with the classes of all words. A text's
 probability is the product over its tokens of P(class | class before) * P(word | class). A class gives what an absolute
 discount takes from its words' counts to the event "a word of this class that training has not seen"; with one such event
 for each class, the probabilities of what may come next sum to one.
 
-Counts of the most frequent words (KNOWN at most) travel to the scoring tasks; the few tokens of other words are joined to
-the whole count table, so every count is exact at any vocabulary size.
+Counts and classes of the most frequent words (KNOWN at most) travel to the tasks; the few tokens of other words are joined to
+the whole table of words, so every count and class is exact at any vocabulary size.
 """
 
 from __future__ import annotations
@@ -109,16 +111,17 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
 
 @dataclass
 class Model:
-    vocabulary: DataFrame  # word, n: all training words
+    vocabulary: DataFrame  # word, n, class: all training words
     train_tokens: int
     train_words: int
-    frequent: list[bytes]
-    classes: np.ndarray  # of units
+    frequent: list[bytes]  # the words of known
+    classes: np.ndarray  # of the frequent words, and of the endings for words that are in no table
     transition: np.ndarray  # log10 P(class | class before)
     class_tokens: np.ndarray
     discount: float
     unseen: np.ndarray  # log10 P(unseen word of the class | class)
     known: dict[bytes, int]
+    start: int  # the class of END
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1) / (self.train_tokens + self.train_words + 1))
@@ -144,6 +147,131 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _contexts(texts: DataFrame, core: list[bytes], of: np.ndarray) -> DataFrame:
+    """(word, codes): for words that are not in core, how often which class stands before (b) or after (k + a) them; a code is
+    that count times 2 * k, plus b or k + a."""
+    k = int(of.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, local, seen = Units(core), _Numbers(), []
+        start = int(of[unit[END]])
+
+        def out() -> pa.RecordBatch:
+            pair, n = np.unique(np.concatenate(seen), return_counts=True)
+            word, first = np.unique(pair // (2 * k), return_index=True)
+            codes = pa.ListArray.from_arrays(pa.array([*first, len(pair)], pa.int32()), pa.array(n * 2 * k + pair % (2 * k), pa.int64()))
+            names = list(local)
+            rows = pa.RecordBatch.from_arrays([pa.array([names[w] for w in word], pa.binary()), codes.cast(arrow.field("codes").type)], schema=arrow)
+            local.clear()
+            seen.clear()
+            return rows
+
+        for batch in batches:
+            words = [w for text in batch.column(0).to_pylist() for w in tokens(text)]
+            units = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
+            c, at = of[units], np.flatnonzero(units >= len(core))
+            if len(at):
+                before, after = np.append(start, c)[at], np.append(c, start)[at + 1]
+                word = np.fromiter((local[words[i]] for i in at), np.int64, len(at)) * (2 * k)
+                seen += [word + before, word + k + after]
+                if len(local) > HELD or sum(map(len, seen)) > 8 * HELD:
+                    yield out()
+        if seen:
+            yield out()
+
+    arrow = common.arrow_schema("word binary, codes array<long>")
+    return texts.mapInArrow(run, "word binary, codes array<long>").groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes"))
+
+
+class _Numbers(dict):
+    """Numbers of words, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _assigned(contexts: DataFrame, g: np.ndarray) -> DataFrame:
+    """(word, class): the class that gives a word's contexts the highest likelihood, by the class bigrams g."""
+    k = len(g)
+    to = np.log((g + 0.5) / (g.sum(0) + 0.5 * k))  # [before, class]
+    fro = np.log((g.T + 0.5) / (g.sum(1) + 0.5 * k))  # [after, class]
+    gain = np.concatenate([to, fro])
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            codes = batch.column("codes")
+            ends, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
+            flat = flat[ends[0] : ends[-1]]
+            counts = np.bincount(np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * 2 * k + flat % (2 * k), flat // (2 * k), (len(ends) - 1) * 2 * k)
+            return {"word": batch.column("word"), "class": pa.array((counts.reshape(-1, 2 * k) @ gain).round(6).argmax(1), pa.int32())}
+
+        return work
+
+    return common.map_batches(contexts, make, "word binary, class int")
+
+
+def _ending() -> Column:
+    """The cell of ENDINGS of the column word."""
+    return F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")), F.lit(ENDINGS))
+
+
+def _transitions(texts: DataFrame, vocabulary: DataFrame, known: dict[bytes, int], start: int, k: int) -> np.ndarray:
+    """Counts of neighbouring classes; known has classes, vocabulary those of all words, start that of END."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, row = np.zeros(k * k, np.int64), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            out: list[tuple] = []
+            for text in batch.column(0).to_pylist():
+                found = tokens(text)
+                at = np.fromiter((known.get(w, -1) for w in found), np.int64, len(found))
+                at = np.append(start, at)
+                rare: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(at < 0):
+                    rare.setdefault(found[i - 1], []).append(int(i))
+                if rare:
+                    out.append((row, at.astype(np.int16).tobytes(), [{"word": w, "at": i} for w, i in rare.items()]))
+                    row += 1
+                else:
+                    seen += np.bincount(at[:-1] * k + at[1:], minlength=k * k)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        yield pa.RecordBatch.from_pylist([{"row": -1, "seq": seen.tobytes(), "rare": []}], arrow)
+
+    schema = "row long, seq binary, rare array<struct<word:binary,at:array<int>>>"
+    arrow = common.arrow_schema(schema)
+    told = common.stored(texts.mapInArrow(run, schema))
+    parts = told.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.at").join(vocabulary, "word").groupBy("row").agg(F.collect_list(F.struct("class", "at")).alias("found"))
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for row, seq, found in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if row < 0:
+                    seen += np.frombuffer(seq, np.int64)
+                else:
+                    at = _filled(seq, found)
+                    seen += np.bincount(at[:-1] * k + at[1:], minlength=k * k)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["pair", "n"])
+
+    whole = told.select("row", "seq").where("row < 0").withColumn("found", F.lit(None).cast(parts.schema["found"].dataType))
+    whole = whole.unionAll(told.select("row", "seq").where("row >= 0").join(parts, "row"))
+    found = whole.mapInArrow(filled, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    g = np.zeros(k * k)
+    g[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return g.reshape(k, k)
+
+
+def _filled(seq: bytes, found: list[dict]) -> np.ndarray:
+    """The classes of a text after its start, with those of found put in."""
+    at = np.frombuffer(seq, np.int16).astype(np.int64)
+    for r in found:
+        at[r["at"]] = r["class"]
+    return at
+
+
 def train(docs: DataFrame, text_col: str = "text", units: int = UNITS, classes: int = CLASSES, known: int = KNOWN) -> Model:
     """Count all of docs and cluster the words. With no rows, the model knows nothing and scores like the baseline."""
     common.small_batches(docs.sparkSession)
@@ -159,12 +287,12 @@ def train(docs: DataFrame, text_col: str = "text", units: int = UNITS, classes:
         least = levels[k][2]
     top = vocabulary.where(F.col("n") >= (least or 1)).orderBy(F.desc("n"), "word").limit(known).collect()
     counts = {bytes(r["word"]): r["n"] for r in top}
-    frequent = list(counts)[:units]
+    core = list(counts)[:units]
 
-    cells = len(frequent) + ENDINGS
+    cells = len(core) + ENDINGS
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, seen, end = Units(frequent), np.zeros(cells * cells, np.int64), [Units(frequent)[END]]
+        unit, seen, end = Units(core), np.zeros(cells * cells, np.int64), [Units(core)[END]]
         for batch in batches:
             ids = end + [u for text in batch.column(0).to_pylist() for u in map(unit.__getitem__, tokens(text))]
             ids = np.array(ids, np.int64)
@@ -178,23 +306,27 @@ def train(docs: DataFrame, text_col: str = "text", units: int = UNITS, classes:
     pairs = pairs.reshape(cells, cells)
     of = exchange(pairs, min(classes, cells))
 
-    shown = docs.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")
-    ending = F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")), F.lit(ENDINGS))
-    rest = vocabulary.join(F.broadcast(shown), "word", "left_anti").groupBy(ending.alias("e")).agg(F.sum("n"), F.count("*")).collect()
-    unit_tokens, unit_words = np.zeros(cells), np.zeros(cells)
-    unit_tokens[: len(frequent)], unit_words[: len(frequent)] = [counts[w] for w in frequent], 1
-    for e, n, c in rest:
-        unit_tokens[len(frequent) + e], unit_words[len(frequent) + e] = n, c
     k = int(of.max()) + 1
-    class_tokens, class_words = np.bincount(of, unit_tokens, k), np.bincount(of, unit_words, k)
+    member = np.eye(k)[of]
+    shown = docs.sparkSession.createDataFrame([(w, int(c)) for w, c in zip(core, of)], "word binary, class int")
+    assigned = shown.unionAll(_assigned(_contexts(texts, core, of), member.T @ pairs @ member))
+    vocabulary = common.stored(vocabulary.join(assigned, "word"))
+    class_tokens, class_words = np.zeros(k), np.zeros(k)
+    for c, n, m in vocabulary.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
+        class_tokens[c], class_words[c] = n, m
+    top = vocabulary.where(F.col("n") >= (least or 1)).orderBy(F.desc("n"), "word").limit(known).select("word", "class").toArrow()
+    class_of = dict(zip(top["word"].to_pylist(), top["class"].to_pylist(), strict=True))
+    frequent = list(counts)
+    last = vocabulary.where(F.col("word") == F.lit(bytearray(END))).select("class").first()
+    start = last["class"] if last else 0
+    g = _transitions(texts, vocabulary, class_of, start, k) if frequent else np.zeros((k, k))
+    of = np.append(np.array([class_of[w] for w in frequent], np.int64), of[len(core) :])
     once, twice = (levels.get(b, (0, 0, 0))[0] for b in (0, 8))
     discount = once / (once + 2 * twice) if once and twice else 0.75
-    member = np.eye(k)[of]
-    g = member.T @ pairs @ member
     share = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * k)
     transition = np.log10((g + 0.5 * k * share) / (g.sum(1, keepdims=True) + 0.5 * k))
     unseen = np.log10(np.where(class_tokens > 0, discount * class_words, 1) / np.where(class_tokens > 0, class_tokens, train_tokens + train_words + 1))
-    return Model(vocabulary, train_tokens, train_words, frequent, of, transition, np.maximum(class_tokens, 1), discount, unseen, counts)
+    return Model(vocabulary, train_tokens, train_words, frequent, of, transition, np.maximum(class_tokens, 1), discount, unseen, counts, start)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,18 +338,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, own double, rare array<struct<word:binary,times:int,class:int>>"
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, own double, seq binary, rare array<struct<word:binary,times:int,at:array<int>>>"
     arrow = common.arrow_schema(schema)
     names, counts = list(model.known), np.array(list(model.known.values()), np.int64)
-    frequent, classes, transition, trained = model.frequent, model.classes, model.transition, model.train_tokens > 0
+    frequent, classes, transition, start, trained = model.frequent, model.classes, model.transition, model.start, model.train_tokens > 0
     base = model.base(counts)
-    unit = Units(frequent)
-    own_class = classes[[unit[w] for w in names]] if names else np.zeros(0, np.int64)
+    own_class = classes[: len(names)]
     emitted = model.emission(counts, own_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, unit, row = {w: k for k, w in enumerate(names)}, Units(frequent), TaskContext.get().partitionId() << 33
-        start = int(classes[unit[END]])
+        number, row = {w: k for k, w in enumerate(names)}, TaskContext.get().partitionId() << 33
         base_of, emitted_of, class_of = np.append(base, 0.0), np.append(emitted, 0.0), np.append(own_class, -1)
         none = len(names)
         for batch in batches:
@@ -227,31 +357,45 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 at = np.fromiter((number.get(w, none) for w in found), np.int64, len(found))
                 which, unknown = class_of[at], np.flatnonzero(at == none)
                 rare: dict[bytes, list[int]] = {}
-                for k in unknown:
-                    w = found[k]
-                    if w not in rare:
-                        rare[w] = [0, int(classes[unit[w]])]
-                    rare[w][0] += 1
-                    which[k] = rare[w][1]
-                steps = transition[np.append(start, which[:-1]), which].sum() if trained else 0.0
-                words = [{"word": w, "times": n, "class": c} for w, (n, c) in rare.items()]
-                out.append((row, doc_id, len(found), len(found) - len(unknown), base_of[at].sum(), steps + emitted_of[at].sum(), words))
+                for k in unknown.tolist():
+                    rare.setdefault(found[k], []).append(k + 1)
+                which = np.append(start, which)
+                steps = transition[which[:-1], which[1:]].sum() if trained and not rare else 0.0
+                words = [{"word": w, "times": len(k), "at": k} for w, k in rare.items()]
+                out.append((row, doc_id, len(found), len(found) - len(unknown), base_of[at].sum(), steps + emitted_of[at].sum(), which.astype(np.int16).tobytes() if rare else None, words))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow) if out else pa.RecordBatch.from_pylist([], arrow)
 
     told = common.stored(rows.mapInArrow(run, schema))
-    listed = told.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.class")
+    listed = told.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.at").join(model.vocabulary, "word", "left")
+    endings = F.array(*(F.lit(int(c)) for c in classes[len(frequent) :]))
+    listed = listed.withColumn("class", F.coalesce("class", F.element_at(endings, _ending().cast("int") + 1)))
     n, times = F.coalesce("n", F.lit(0)), F.col("times")
     of_class = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("class") + 1)
     emission = F.when(n > 0, F.log10((n - model.discount) / of_class(model.class_tokens))).otherwise(of_class(model.unseen) if trained else F.lit(0.0))
-    parts = listed.join(model.vocabulary, "word", "left").groupBy("row").agg(
+    parts = listed.groupBy("row").agg(
         F.sum(F.when(n > 0, times).otherwise(0)).alias("k"),
         F.sum(times * F.log10((n + 1) / F.lit(float(model.train_tokens + model.train_words + 1)))).alias("b"),
         F.sum(times * emission).alias("e"),
+        F.collect_list(F.struct("class", "at")).alias("found"),
     )
     total = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    whole: Column = total("own", "e")
-    return told.join(parts, "row", "left").select(
-        "doc_id", "n_tokens", total("n_known", "k").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        total("base", "b").alias("base_score"), whole.alias("score"), F.pow(F.lit(10.0), -whole / F.col("n_tokens")).alias("perplexity"),
+    columns = ["doc_id", "n_tokens", total("n_known", F.col("k")).alias("n_known"), total("base", F.col("b")).alias("base"), total("own", F.col("e")).alias("own")]
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            own = []
+            for value, seq, found in zip(*(batch.column(c).to_pylist() for c in ("own", "seq", "found")), strict=True):
+                if seq is not None and trained:
+                    at = _filled(seq, found)
+                    value += transition[at[:-1], at[1:]].sum()
+                own.append(value)
+            return {n: batch.column(n) for n in ("doc_id", "n_tokens", "n_known", "base")} | {"own": own}
+
+        return work
+
+    whole = common.map_batches(told.join(parts, "row", "left").select(*columns, "seq", "found"), make, "doc_id long, n_tokens long, n_known long, base double, own double")
+    return whole.select(
+        "doc_id", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), F.col("own").alias("score"), F.pow(F.lit(10.0), -F.col("own") / F.col("n_tokens")).alias("perplexity"),
     )

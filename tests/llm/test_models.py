@@ -163,3 +163,13 @@ def test_language_model_edge_rows(odd, odd_rows, none):
     assert lm.score(none, model).count() == 0
     nothing = lm.score(odd, lm.train(none)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score == 0 for r in nothing)
+
+
+def test_words_past_the_units_are_classed_by_their_contexts(spark):
+    """Words of one ending but unlike use, none of them exchanged nor known by the tasks."""
+    texts = [(k, " ".join(f"le x{k}{j}ing va le a va" if j % 2 else f"du y{k}{j}ing po du b po" for j in range(8))) for k in range(40)]
+    model = lm.train(spark.createDataFrame(texts, "doc_id long, text string"), units=7, classes=7, known=7)
+    found = {bytes(r["word"]): r["class"] for r in model.vocabulary.collect()}
+    x, y = ({c for w, c in found.items() if w.startswith(a)} for a in (b"x", b"y"))
+    assert len(found) == 327 and len(x) == len(y) == 1 and x != y
+    assert 10 ** model.transition[found[b"le"], next(iter(x))] > 0.8
