@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,7 +20,10 @@ BATCH_ROWS = 2000
 #: Cells of the tables that tell which rows may be concerned: such a table has at most as many rows, of 8 bytes.
 MARKS = 1 << 19
 
-_made: list[tuple[SparkSession, str]] = []
+#: With this setting Spark deletes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_made: dict[str, SparkSession] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -29,41 +31,61 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share.
+
+    Where that is not set, the checkpoint folder of the Spark context is taken; in local mode, where all run on one machine,
+    a temporary one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        base = spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
         base = tempfile.mkdtemp(prefix="bitloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{base.rstrip('/')}/bitloom-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(remove_scratch)
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
 def remove_scratch() -> None:
     """Delete the scratch folders of sessions that still run."""
-    for spark, path in _made:
-        if spark.sparkContext._jsc is not None:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _made.clear()
+    for path in list(_made):
+        _delete(path)
 
 
-def free(spark: SparkSession) -> None:
-    """Collect garbage in Python and in the driver's JVM, which lets Spark's cleaner delete the shuffle files of jobs that are
-    done and gives heap back."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _delete(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark and spark.sparkContext._jsc is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, *over: DataFrame) -> DataFrame:
+    """df written to the shared scratch folder and read again: its lineage is cut and it survives lost executors.
+
+    Shuffle files of the write are deleted at its end, and so are the stored tables over, of which it was the last reader.
+    """
+    spark = df.sparkSession
+    path, before = scratch_folder(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    drop(*over)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared scratch folder and read again: its lineage is cut and it survives lost executors."""
-    free(df.sparkSession)
-    path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that no one reads any more."""
+    for t in tables:
+        _delete(getattr(t, "_scratch", ""))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -97,18 +119,18 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0)).cast("int")
 
 
-def cells(keys: DataFrame) -> DataFrame:
-    """The cells, of MARKS, that the rows of keys fall into: a table of bounded size, to be broadcast."""
-    return F.broadcast(keys.select(_cell(keys.columns).alias("__cell")).distinct())
+def cells(keys: DataFrame, cells: int = MARKS) -> DataFrame:
+    """The cells that the rows of keys fall into: a table of at most so many rows, to be broadcast."""
+    return F.broadcast(keys.select(_cell(keys.columns, cells).alias("__cell")).distinct())
 
 
-def _cell(columns: list[str]) -> Column:
-    return F.coalesce(F.pmod(F.xxhash64(*columns), F.lit(MARKS)), F.lit(0))
+def _cell(columns: list[str], cells: int) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(*columns), F.lit(cells)), F.lit(0))
 
 
-def maybe(rows: DataFrame, found: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+def maybe(rows: DataFrame, found: DataFrame, columns: list[str], how: str = "left_semi", cells: int = MARKS) -> DataFrame:
     """The rows that may be among the keys whose cells are found (those that are always stay); with left_anti, the others."""
-    return rows.withColumn("__at", _cell(columns)).join(found, F.col("__at") == F.col("__cell"), how).drop("__at")
+    return rows.withColumn("__at", _cell(columns, cells)).join(found, F.col("__at") == F.col("__cell"), how).drop("__at")
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -136,7 +158,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(least.select("u", F.col("m").alias("v")).unionAll(small).distinct())
+        e = stored(least.select("u", F.col("m").alias("v")).unionAll(small).distinct(), e)
         after = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if after == before:
             break

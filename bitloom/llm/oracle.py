@@ -31,7 +31,7 @@ FROM documents LEFT JOIN z ON id = doc_id LEFT JOIN c ON node = doc_id"""
 OP10 = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
   q AS (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS p FROM d),
   l AS (SELECT doc_id, p, s[p] AS line, list_distinct(list_filter(string_split(lower(s[p]), ' '), lambda t: t <> '')) AS t FROM q),
-  f AS (SELECT row_number() OVER (ORDER BY doc_id, p) AS id, doc_id, p, t, len(t) AS n FROM l WHERE len(t) >= 5),
+  f AS (SELECT row_number() OVER (ORDER BY doc_id, p) AS id, doc_id, p, t, len(t) AS n FROM l WHERE len(t) > 0),
   g AS (SELECT list_sort(t) AS k, min(id) AS id FROM f GROUP BY 1), u AS (SELECT f.* FROM f JOIN g USING (id)),
   t AS (SELECT id, n, unnest(t) AS t FROM u), r AS (SELECT t, count(*) AS df FROM t GROUP BY t),
   o AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS place FROM t JOIN r USING (t)),

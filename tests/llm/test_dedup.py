@@ -166,12 +166,12 @@ def test_document_edge_rows(odd, odd_rows, none):
 # lines
 
 
-def brute_lines(rows, percent=lines.PERCENT, least=lines.LEAST):
+def brute_lines(rows, percent=lines.PERCENT):
     all_lines = []
     for i, t in rows:
         if i is not None and t is not None:
             all_lines += [(i, p, frozenset(x for x in line.lower().split(" ") if x)) for p, line in enumerate(t.split("\n"))]
-    all_lines = sorted({(i, p, s) for i, p, s in all_lines if len(s) >= least}, key=lambda x: x[:2])
+    all_lines = sorted({(i, p, s) for i, p, s in all_lines if s}, key=lambda x: x[:2])
     gone = set()
     for k, (i, p, s) in enumerate(all_lines):
         if any((a, b) != (i, p) and 100 * len(s & t) >= percent * len(s | t) for a, b, t in all_lines[:k]):
@@ -210,6 +210,19 @@ def test_lines_stay_in_the_jvm(spark, small):
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
-def test_lines_of_too_few_tokens_are_refused(odd):
+def test_low_similarities_are_refused(odd):
     with pytest.raises(ValueError):
-        lines.dedup(odd, least=2)
+        lines.dedup(odd, percent=50)
+
+
+@pytest.mark.parametrize("hot", [0, 4, lines.HOT])
+def test_short_lines_and_frequent_tokens(spark, monkeypatch, hot):
+    """Lines of one token and more; with a low bound, all tokens are frequent ones that are posted in pairs."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(25)]
+    line = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 12)))
+    rows = [(k, "\n".join(line() for _ in range(5))) for k in range(60)]
+    rows += [(100 + k, "All rights reserved\n\n  \nI\nreserved all rights\nw1 w2 w3 w4" + " w5" * (k % 2)) for k in range(6)]
+    found = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == sorted(brute_lines(rows))
