@@ -4,7 +4,8 @@ All training documents are counted: words, and neighbouring pairs of units. A un
 or all other words whose last three bytes fall into one of ENDINGS cells. The exchange algorithm moves units between
 CLASSES classes as long as that raises the likelihood of the class bigrams. Each other word of the training documents then
 goes to the class that its own counts of neighbouring classes make the most likely; only words that training has not seen
-have the class of their ending. The transitions are counted anew with the classes of all words. A text's
+have the class of their ending. The transitions are counted anew with the classes of all words; of two neighbours that are
+both no units, the first counts by its ending. A text's
 probability is the product over its tokens of P(class | class before) * P(word | class). A class gives what an absolute
 discount takes from its words' counts to the event "a word of this class that training has not seen"; with one such event
 for each class, the probabilities of what may come next sum to one.
@@ -148,18 +149,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(texts: DataFrame, core: list[bytes], of: np.ndarray) -> DataFrame:
-    """(word, codes): for words that are not in core, how often which class stands before (b) or after (k + a) them; a code is
-    that count times 2 * k, plus b or k + a."""
+    """(word, codes): for words that are not in core, how often which class stands before (b) or after them (k + a, or 2 * k + a
+    if that word is not in core either); a code is that count times 3 * k, plus b, k + a or 2 * k + a. A word has a row for each task."""
     k = int(of.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, local, seen = Units(core), _Numbers(), []
+        unit, local, seen, held = Units(core), _Numbers(), [], 0
         start = int(of[unit[END]])
 
         def out() -> pa.RecordBatch:
             pair, n = np.unique(np.concatenate(seen), return_counts=True)
-            word, first = np.unique(pair // (2 * k), return_index=True)
-            codes = pa.ListArray.from_arrays(pa.array([*first, len(pair)], pa.int32()), pa.array(n * 2 * k + pair % (2 * k), pa.int64()))
+            word, first = np.unique(pair // (3 * k), return_index=True)
+            codes = pa.ListArray.from_arrays(pa.array([*first, len(pair)], pa.int32()), pa.array(n * 3 * k + pair % (3 * k), pa.int64()))
             names = list(local)
             rows = pa.RecordBatch.from_arrays([pa.array([names[w] for w in word], pa.binary()), codes.cast(arrow.field("codes").type)], schema=arrow)
             local.clear()
@@ -171,16 +172,20 @@ def _contexts(texts: DataFrame, core: list[bytes], of: np.ndarray) -> DataFrame:
             units = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
             c, at = of[units], np.flatnonzero(units >= len(core))
             if len(at):
-                before, after = np.append(start, c)[at], np.append(c, start)[at + 1]
-                word = np.fromiter((local[words[i]] for i in at), np.int64, len(at)) * (2 * k)
-                seen += [word + before, word + k + after]
-                if len(local) > HELD or sum(map(len, seen)) > 8 * HELD:
+                others = [words[i] for i in at.tolist()]
+                after = np.append(c + k * (1 + (units >= len(core))), start + k)  # what follows a text is an end
+                before, after = np.append(start, c)[at], after[at + 1]
+                word = np.fromiter(map(local.__getitem__, others), np.int64, len(others)) * (3 * k)
+                seen += [word + before, word + after]
+                held += 2 * len(at)
+                if len(local) > HELD or held > 16 * HELD:
                     yield out()
+                    held = 0
         if seen:
             yield out()
 
     arrow = common.arrow_schema("word binary, codes array<long>")
-    return texts.mapInArrow(run, "word binary, codes array<long>").groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes"))
+    return texts.mapInArrow(run, "word binary, codes array<long>")
 
 
 class _Numbers(dict):
@@ -192,23 +197,52 @@ class _Numbers(dict):
 
 
 def _assigned(contexts: DataFrame, g: np.ndarray) -> DataFrame:
-    """(word, class): the class that gives a word's contexts the highest likelihood, by the class bigrams g."""
+    """(word, n, class): the class that gives a word's contexts the highest likelihood, by the class bigrams g; and (pair, n)
+    with no word: the class bigrams of these words and their neighbours.
+
+    The rows of a word come one after the other and are summed as they come, so that no task holds more than one word's.
+    """
     k = len(g)
     to = np.log((g + 0.5) / (g.sum(0) + 0.5 * k))  # [before, class]
     fro = np.log((g.T + 0.5) / (g.sum(1) + 0.5 * k))  # [after, class]
-    gain = np.concatenate([to, fro])
+    gain = np.concatenate([to, fro, fro])
 
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            codes = batch.column("codes")
-            ends, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
-            flat = flat[ends[0] : ends[-1]]
-            counts = np.bincount(np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * 2 * k + flat % (2 * k), flat // (2 * k), (len(ends) - 1) * 2 * k)
-            return {"word": batch.column("word"), "class": pa.array((counts.reshape(-1, 2 * k) @ gain).round(6).argmax(1), pa.int32())}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, last, held = np.zeros((k, k), np.int64), None, np.zeros(3 * k)
 
-        return work
+        def out(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+            at, n = (counts @ gain).round(6).argmax(1), counts[:, :k].sum(1).astype(np.int64)
+            for c in np.unique(at):
+                own = counts[at == c].sum(0).astype(np.int64)
+                seen[:, c] += own[:k]
+                seen[c] += own[k : 2 * k]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(at, pa.int32()), pa.nulls(len(words), pa.int32())], schema=arrow)
 
-    return common.map_batches(contexts, make, "word binary, class int")
+        for batch in batches:
+            codes = batch.column("codes")
+            ends, flat, words = codes.offsets.to_numpy(), codes.values.to_numpy(), batch.column("word").to_pylist()
+            if not words:
+                continue
+            flat = flat[ends[0] : ends[-1]]
+            own = np.cumsum([w != v for w, v in zip(words, [last, *words[:-1]], strict=True)])  # 0: more of the last word
+            counts = np.bincount(np.repeat(own, np.diff(ends)) * 3 * k + flat % (3 * k), flat // (3 * k), (own[-1] + 1) * 3 * k).reshape(-1, 3 * k)
+            counts[0] += held
+            names = [last, *(w for w, v in zip(words, [last, *words[:-1]], strict=True) if w != v)]
+            if len(names) > 1:
+                first = 1 if last is None else 0
+                if len(names) - 1 > first:
+                    yield out(names[first:-1], counts[first:-1])
+                elif first == 0:
+                    yield out(names[:1], counts[:1])
+            last, held = names[-1], counts[-1]
+        if last is not None:
+            yield out([last], held[None])
+        pair = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pair), pa.binary()), pa.array(seen.ravel()[pair]), pa.nulls(len(pair), pa.int32()), pa.array(pair, pa.int32())], schema=arrow)
+
+    schema = "word binary, n long, class int, pair int"
+    arrow = common.arrow_schema(schema)
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
 
 
 def _ending() -> Column:
@@ -216,54 +250,6 @@ def _ending() -> Column:
     return F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")), F.lit(ENDINGS))
 
 
-def _transitions(texts: DataFrame, vocabulary: DataFrame, known: dict[bytes, int], start: int, k: int) -> np.ndarray:
-    """Counts of neighbouring classes; known has classes, vocabulary those of all words, start that of END."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, row = np.zeros(k * k, np.int64), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(0).to_pylist():
-                found = tokens(text)
-                at = np.fromiter((known.get(w, -1) for w in found), np.int64, len(found))
-                at = np.append(start, at)
-                rare: dict[bytes, list[int]] = {}
-                for i in np.flatnonzero(at < 0):
-                    rare.setdefault(found[i - 1], []).append(int(i))
-                if rare:
-                    out.append((row, at.astype(np.int16).tobytes(), [{"word": w, "at": i} for w, i in rare.items()]))
-                    row += 1
-                else:
-                    seen += np.bincount(at[:-1] * k + at[1:], minlength=k * k)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-        yield pa.RecordBatch.from_pylist([{"row": -1, "seq": seen.tobytes(), "rare": []}], arrow)
-
-    schema = "row long, seq binary, rare array<struct<word:binary,at:array<int>>>"
-    arrow = common.arrow_schema(schema)
-    told = common.stored(texts.mapInArrow(run, schema))
-    parts = told.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.at").join(vocabulary, "word").groupBy("row").agg(F.collect_list(F.struct("class", "at")).alias("found"))
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(k * k, np.int64)
-        for batch in batches:
-            for row, seq, found in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if row < 0:
-                    seen += np.frombuffer(seq, np.int64)
-                else:
-                    at = _filled(seq, found)
-                    seen += np.bincount(at[:-1] * k + at[1:], minlength=k * k)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["pair", "n"])
-
-    whole = told.select("row", "seq").where("row < 0").withColumn("found", F.lit(None).cast(parts.schema["found"].dataType))
-    whole = whole.unionAll(told.select("row", "seq").where("row >= 0").join(parts, "row"))
-    found = whole.mapInArrow(filled, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    g = np.zeros(k * k)
-    g[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return g.reshape(k, k)
-
-
 def _filled(seq: bytes, found: list[dict]) -> np.ndarray:
     """The classes of a text after its start, with those of found put in."""
     at = np.frombuffer(seq, np.int16).astype(np.int64)
@@ -287,6 +273,8 @@ def train(docs: DataFrame, text_col: str = "text", units: int = UNITS, classes:
         least = levels[k][2]
     top = vocabulary.where(F.col("n") >= (least or 1)).orderBy(F.desc("n"), "word").limit(known).collect()
     counts = {bytes(r["word"]): r["n"] for r in top}
+    if train_tokens and END not in counts:
+        counts[END] = vocabulary.where(F.col("word") == F.lit(bytearray(END))).first()["n"]
     core = list(counts)[:units]
 
     cells = len(core) + ENDINGS
@@ -308,19 +296,30 @@ def train(docs: DataFrame, text_col: str = "text", units: int = UNITS, classes:
 
     k = int(of.max()) + 1
     member = np.eye(k)[of]
-    shown = docs.sparkSession.createDataFrame([(w, int(c)) for w, c in zip(core, of)], "word binary, class int")
-    assigned = shown.unionAll(_assigned(_contexts(texts, core, of), member.T @ pairs @ member))
-    vocabulary = common.stored(vocabulary.join(assigned, "word"))
-    class_tokens, class_words = np.zeros(k), np.zeros(k)
-    for c, n, m in vocabulary.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
-        class_tokens[c], class_words[c] = n, m
-    top = vocabulary.where(F.col("n") >= (least or 1)).orderBy(F.desc("n"), "word").limit(known).select("word", "class").toArrow()
-    class_of = dict(zip(top["word"].to_pylist(), top["class"].to_pylist(), strict=True))
     frequent = list(counts)
-    last = vocabulary.where(F.col("word") == F.lit(bytearray(END))).select("class").first()
-    start = last["class"] if last else 0
-    g = _transitions(texts, vocabulary, class_of, start, k) if frequent else np.zeros((k, k))
-    of = np.append(np.array([class_of[w] for w in frequent], np.int64), of[len(core) :])
+    number = {w: i for i, w in enumerate(frequent)}
+    assigned = common.stored(_assigned(_contexts(texts, core, of), member.T @ pairs @ member), vocabulary)
+    classes_of = np.zeros(len(frequent), np.int64)
+    classes_of[: len(core)] = of[: len(core)]
+    shown = docs.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")
+    if len(frequent) > len(core):
+        found = assigned.where("word is not null").join(F.broadcast(shown), "word").select("word", "class").toArrow()
+        for w, c in zip(found["word"].to_pylist(), found["class"].to_pylist(), strict=True):
+            classes_of[number.get(w, 0)] = c if number.get(w, 0) >= len(core) else classes_of[number.get(w, 0)]
+    rare = assigned.where("word is not null").join(F.broadcast(shown), "word", "left_anti").select("word", "n", "class")
+    known_rows = docs.sparkSession.createDataFrame([(w, int(n), int(c)) for (w, n), c in zip(counts.items(), classes_of, strict=True)], "word binary, n long, class int")
+    class_tokens, class_words = np.zeros(k), np.zeros(k)
+    np.add.at(class_tokens, classes_of, list(counts.values()))
+    np.add.at(class_words, classes_of, 1)
+    for c, n, m in rare.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
+        class_tokens[c] += n
+        class_words[c] += m
+    start = int(classes_of[number[END]]) if frequent else 0
+    inner = pairs[: len(core), : len(core)]
+    g = (member[: len(core)].T @ inner @ member[: len(core)]).ravel()
+    for pair, n in assigned.where("pair is not null").groupBy("pair").agg(F.sum("n")).collect():
+        g[pair] += n
+    g, vocabulary, of = g.reshape(k, k), rare.unionAll(known_rows), np.append(classes_of, of[len(core) :])
     once, twice = (levels.get(b, (0, 0, 0))[0] for b in (0, 8))
     discount = once / (once + 2 * twice) if once and twice else 0.75
     share = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * k)
