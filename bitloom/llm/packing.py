@@ -10,6 +10,7 @@ Nothing is shuffled: each task packs its own rows, in windows of WINDOW tokens,
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -20,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import common
-from bitloom.llm.words import WordIds, load
+from bitloom.llm.words import shared
 
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that a task holds before it packs them.
 WINDOW = 1 << 21
-#: Texts that are split into words at once.
-TEXTS = 64
+#: Texts that are split into words at once, and words whose ids a worker keeps.
+TEXTS, CACHED = 64, 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
 
 
@@ -55,24 +56,36 @@ class Packer:
         rest.sort(key=lambda p: (-len(p[2]), p[0] is None, p[0] or 0, p[1]))
         sizes = np.array([len(p[2]) for p in rest], np.int64)
         n = int(sizes.sum()) // self.capacity
-        sequences, cost, room = [[] for _ in range(n)], np.zeros(n), np.full(n, self.capacity)
+        sequences, cost, room = [[] for _ in range(n)], [0.0] * n, [self.capacity] * n
+        open_, wait = [(0.0, k) for k in range(n)], []  # heaps: sequences by cost, and those without room by their room
 
         def put(k: int, piece: tuple) -> None:
             sequences[k].append(piece)
             cost[k] += _cost(len(piece[2]))
             room[k] -= len(piece[2])
+            if room[k]:
+                heapq.heappush(open_, (cost[k], k))
 
         cut = []
         for piece in rest:
-            if n and room.max() >= len(piece[2]):
-                put(int(np.where(room >= len(piece[2]), cost, np.inf).argmin()), piece)
+            size = len(piece[2])
+            while wait and -wait[0][0] >= size:  # pieces get shorter, so that sequences have room again
+                k = heapq.heappop(wait)[1]
+                heapq.heappush(open_, (cost[k], k))
+            while open_ and room[open_[0][1]] < size:
+                k = heapq.heappop(open_)[1]
+                heapq.heappush(wait, (-room[k], k))
+            if open_:
+                put(heapq.heappop(open_)[1], piece)
             else:
                 cut.append(piece)
+        for _, k in wait:
+            heapq.heappush(open_, (cost[k], k))
         left = []
         for doc_id, start, ids, total in cut:
-            while len(ids) and n and room.max() > 0:
-                k = int(np.where(room > 0, cost, np.inf).argmin())
-                m = min(int(room[k]), len(ids))
+            while len(ids) and open_:
+                k = heapq.heappop(open_)[1]
+                m = min(room[k], len(ids))
                 put(k, (doc_id, start, ids[:m], total))
                 start, ids = start + m, ids[m:]
             if len(ids):
@@ -103,7 +116,7 @@ class Packer:
     def _emit(self, pieces: list[tuple], rows: list[tuple]) -> None:
         offset, cost, total = 0, sum(_cost(len(p[2])) for p in pieces), sum(len(p[2]) for p in pieces)
         for doc_id, start, ids, doc_tokens in pieces:
-            rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), doc_tokens, self.next, offset, total, cost))
+            rows.append((doc_id, start, len(ids), zlib.crc32(ids), doc_tokens, self.next, offset, total, cost))
             offset += len(ids)
         self.next += 1
 
@@ -120,11 +133,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows are packed as often as they stand there; a null id stays null; other columns are not read. An empty table gives
     no rows. capacity is a power of two.
     """
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("capacity is a power of two")
     common.small_batches(docs.sparkSession)
     schema = common.arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer, end = WordIds(load(tokenizer), lower=True), Packer(TaskContext.get().partitionId(), capacity), np.array([END_ID], "<u4").tobytes()
+        words, packer, end = shared(tokenizer, True, CACHED), Packer(TaskContext.get().partitionId(), capacity), np.array([END_ID], "<u4").tobytes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import cache
 
 import numpy as np
 
@@ -46,7 +47,7 @@ class WordIds(dict):
     def ids(self, words: list[list[bytes]]) -> list[bytes]:
         """The joined ids of each list of words."""
         found = [list(map(self.get, w)) for w in words]
-        gaps = [[k for k, ids in enumerate(f) if ids is None] for f in found]
+        gaps = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
         new = {w[k] for w, g in zip(words, gaps, strict=True) for k in g}
         if len(self) + len(new) > self.cached:
             self.clear()
@@ -101,3 +102,9 @@ class WordIds(dict):
     def _cut(out: dict[bytes, bytes], own: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
         data = ids.tobytes()
         out.update((w, data[4 * a : 4 * b]) for w, a, b in zip(own, starts, ends, strict=True))
+
+
+@cache
+def shared(path: str, lower: bool, cached: int) -> WordIds:
+    """The WordIds of the tokenizer in a file that all tasks of a worker use."""
+    return WordIds(load(path), lower=lower, cached=cached)
