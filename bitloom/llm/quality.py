@@ -144,20 +144,29 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Rules:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Rules:
-    """Rules fit on at most sample labelled documents, drawn by a hash of their ids. Null labels are left out."""
-    common.free(docs.sparkSession)
+    """Rules fit on at most sample labelled documents, drawn by a hash of their ids.
+
+    Null labels and null ids are left out. Of rows that share an id, documents or labels, the least by label and statistics
+    counts, so no more than sample rows reach the driver.
+    """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__y is not null and __id is not null")
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(0.9 * sample / n * (1 << 30)))
     known = F.broadcast(known.limit(sample))  # bounded by sample
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id")
-    found = rows.select("__id", "__y", *(c.alias(k) for k, c in statistics(F.col("__text")).items())).toPandas().sort_values(["__id", "__y", *STATISTICS])
+    rows = rows.select("__id", "__y", *(c.alias(k) for k, c in statistics(F.col("__text")).items()))
+    found = rows.groupBy("__id").agg(F.min(F.struct("__y", *STATISTICS)).alias("r")).select("__id", "r.*").toPandas().sort_values("__id")
     rules = fit(found[list(STATISTICS)].to_numpy(float), (found["__y"] > 0).to_numpy(float))
-    common.free(docs.sparkSession)
     return rules
 
 
+def kept(docs: DataFrame, rules: Rules, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns as they are."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in statistics(F.col(f"`{text_col}`")).items()))
+    return packed.where(rules.column() >= threshold).select("row.*")
+
+
 def scored(docs: DataFrame, rules: Rules, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a column name: the score of each whole text, from 0 to 1, empty and null texts included.
 
