@@ -31,8 +31,8 @@ COORDINATES, MATCH = 64, 36
 PREFIX = COORDINATES - MATCH + 1
 #: Cells of the table that tells how frequent coordinate-value pairs are.
 CELLS = 1 << 16
-#: Members of a list that one task compares with as many others.
-BLOCK = 1024
+#: Members of a list, and shingles that they have in all, that one task compares with as many others.
+BLOCK, HELD = 1024, 1 << 22
 #: Orders of documents by which lists choose their heads.
 HEADS = 4
 
@@ -101,8 +101,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nodes = common.stored(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.min("sig").alias("sig")).select("sid", "f.doc_id", "f.n", "sig"))
     lists = common.stored(_postings(nodes))
     order = F.xxhash64(F.pmod("key", F.lit(HEADS)), "sid")
-    heads = lists.groupBy("key").agg(F.min(F.struct(order, "sid")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    lists = common.stored(lists.join(heads, "key").select("key", "sid", F.col("head.sid").alias("head"), "size"))
+    heads = lists.groupBy("key").agg(F.min(F.struct(order, "sid")).alias("head"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+    lists = common.stored(lists.join(heads, "key").select("key", "sid", F.col("head.sid").alias("head"), "size", "weight"), lists)
     stars = _matching(lists.where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct(), nodes, percent)
     stars = common.stored(stars)
 
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(key, sid): each node under its rarest coordinate-value pairs."""
+    """(key, sid, n): each node under its rarest coordinate-value pairs."""
 
     def count():
         def work(batch: pa.RecordBatch) -> dict:
@@ -143,11 +143,11 @@ def _postings(nodes: DataFrame) -> DataFrame:
             pairs = _pairs_of(_signatures(batch.column("sig")))
             order = np.lexsort((pairs, counts[(pairs % np.uint64(CELLS)).astype(np.int64)]), axis=1)[:, :PREFIX]
             keys = np.take_along_axis(pairs, order, 1).astype(np.int64)
-            return {"sid": batch.column("sid"), "keys": list(keys)}
+            return {"sid": batch.column("sid"), "n": batch.column("n"), "keys": list(keys)}
 
         return work
 
-    return common.map_batches(nodes.select("sid", "sig"), post, "sid binary, keys array<long>").select(F.explode("keys").alias("key"), "sid")
+    return common.map_batches(nodes.select("sid", "n", "sig"), post, "sid binary, n long, keys array<long>").select(F.explode("keys").alias("key"), "sid", "n")
 
 
 def _alike(percent: int):
@@ -180,11 +180,11 @@ def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _crossing(lists: DataFrame, parts: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) within lists between components: as many as it takes to join what the links of a list join."""
-    known = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).select("key", "sid", "size", "part")
+    known = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).select("key", "sid", "size", "weight", "part")
     mixed = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
     posted = lists.groupBy("sid").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     told = nodes.select("sid", "n", "sig").join(posted, "sid")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / HELD)).cast("int")
     dealt = known.join(mixed, "key", "left_semi").withColumn("blocks", blocks)
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "part")
