@@ -178,7 +178,7 @@ def _contexts(texts: DataFrame, core: list[bytes], of: np.ndarray) -> DataFrame:
                 word = np.fromiter(map(local.__getitem__, others), np.int64, len(others)) * (3 * k)
                 seen += [word + before, word + after]
                 held += 2 * len(at)
-                if len(local) > HELD or held > 16 * HELD:
+                if len(local) > HELD or held > 4 * HELD:
                     yield out()
                     held = 0
         if seen:
