@@ -9,6 +9,8 @@ features. A Viterbi pass over the words with a penalty for each switch of langua
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
 from bisect import bisect_right
 
@@ -42,8 +44,18 @@ _WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>"
 
 
+#: Combining marks belong to the word of the letter before them; numerals such as one half are no letters.
+_MARKS = "".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+_MARK, _MARKED = re.compile(f"[{_MARKS}]"), re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
+
+
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The words in lower case: letters, with the marks that follow them."""
+    text = (text or "").lower()
+    found = (_MARKED if not text.isascii() and _MARK.search(text) else _WORD).findall(text)
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [p for w in found for p in ("".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in w)).split() if any(map(str.isalpha, p))]
 
 
 def script(word: str) -> str:
@@ -78,7 +90,7 @@ class Model:
 
     def viterbi(self, scores: np.ndarray, where: list[np.ndarray]) -> list[np.ndarray]:
         """The language of each word of each text; scores has a row for each distinct word. Texts advance in step."""
-        size, out = np.array([len(w) for w in where]), [np.zeros(0, np.int8)] * len(where)
+        size, out = np.array([len(w) for w in where]), [np.zeros(0, np.int16)] * len(where)
         order = np.argsort(-size, kind="stable")
         order = order[size[order] > 0]
         if not len(order):
@@ -90,8 +102,8 @@ class Model:
         for k, d in enumerate(order):
             flat[first[: len(where[d])] + k] = where[d]
         emitted = scores[flat]
-        back = np.empty(emitted.shape, np.int8)
-        path, own = np.empty(len(flat), np.int8), np.arange(emitted.shape[1], dtype=np.int8)[None]
+        back = np.empty(emitted.shape, np.int16)
+        path, own = np.empty(len(flat), np.int16), np.arange(emitted.shape[1], dtype=np.int16)[None]
         best, last = emitted[: active[0]], np.empty(len(order), np.int64)
         back[: active[0]] = own
         for t in range(1, longest):

@@ -54,6 +54,24 @@ def test_language_edge_rows(odd, odd_rows, none, languages):
     assert {r.lang_pred for r in language.label(odd, language.Model({}, {})).collect()} == {language.UNKNOWN}
 
 
+def test_words_are_letters_with_their_marks():
+    assert language.words("½ ² ① Ⅷ 12") == [] and language.words("हिन्दी x²y") == ["हिन्दी", "x", "y"]
+    assert language.words("The naïve Straße") == ["the", "naïve", "straße"]
+
+
+def test_many_languages():
+    texts = {f"l{k:03}": f"{chr(97 + k % 26)}{chr(97 + k // 26)}q{k % 7}" for k in range(200)}
+    counts = {}
+    for lang, text in texts.items():
+        counts[lang] = np.zeros(language.CELLS)
+        for w in language.words(text):
+            np.add.at(counts[lang], language.features(w), 50)
+    model = language.Model(counts, {k: {"latin": 1} for k in counts})
+    scores = np.stack([model.word(w) for t in texts.values() for w in language.words(t)])
+    path = model.viterbi(scores, [np.full(6, k) for k in range(200)])
+    assert [model.langs[p[0]] for p in path] == list(texts)
+
+
 def brute_viterbi(scores):
     best, back = scores[0].copy(), []
     for s in scores[1:]:
