@@ -152,3 +152,16 @@ def test_short_texts_have_pairs_of_all_bands():
     p = media.peaks(bytes(range(32, 128)) * 20)
     others = {(int(c) >> 4) & 0xFFF for c in media.fingerprint(bytes(range(32, 128)) * 20)[1]}
     assert others == {int(b) for b in p[1:].ravel() if b >= 0}
+
+
+def test_media_query_gives_the_contract_columns(spark, small):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = queries.op8_media(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = texts[r.doc_id].ljust(max(1, -(-len(texts[r.doc_id]) // 192)) * 192)
+        stored = media.write_wav(data)
+        times, codes = media.fingerprint(data)
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(texts[r.doc_id]), len(data), zlib.crc32(data[-16:]))
+        assert (r.payload_sha256, r.media_bytes, r.media_sha256) == (hashlib.sha256(data).hexdigest(), len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature.split(":")[0] == str(len(codes)) and len(times) == len(codes)
