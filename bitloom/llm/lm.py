@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -154,33 +155,33 @@ def _contexts(texts: DataFrame, core: list[bytes], of: np.ndarray) -> DataFrame:
     k = int(of.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, local, seen, held = Units(core), _Numbers(), [], 0
-        start = int(of[unit[END]])
+        number, kind, seen, held = _Numbers(core), of[: len(core)], [], 0
+        start = int(of[Units(core)[END]])
 
         def out() -> pa.RecordBatch:
             pair, n = np.unique(np.concatenate(seen), return_counts=True)
             word, first = np.unique(pair // (3 * k), return_index=True)
             codes = pa.ListArray.from_arrays(pa.array([*first, len(pair)], pa.int32()), pa.array(n * 3 * k + pair % (3 * k), pa.int64()))
-            names = list(local)
-            rows = pa.RecordBatch.from_arrays([pa.array([names[w] for w in word], pa.binary()), codes.cast(arrow.field("codes").type)], schema=arrow)
-            local.clear()
+            names = list(number)
+            rows = pa.RecordBatch.from_arrays([pa.array([names[w] for w in word.tolist()], pa.binary()), codes.cast(arrow.field("codes").type)], schema=arrow)
             seen.clear()
             return rows
 
         for batch in batches:
             words = [w for text in batch.column(0).to_pylist() for w in tokens(text)]
-            units = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
-            c, at = of[units], np.flatnonzero(units >= len(core))
+            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            fresh = [len(core) + zlib.crc32(w[-3:]) % ENDINGS for w in islice(number, len(kind), None)]
+            kind = np.append(kind, of[np.array(fresh, np.int64)])
+            c, other = kind[ids], ids >= len(core)
+            at = np.flatnonzero(other)
             if len(at):
-                others = [words[i] for i in at.tolist()]
-                after = np.append(c + k * (1 + (units >= len(core))), start + k)  # what follows a text is an end
-                before, after = np.append(start, c)[at], after[at + 1]
-                word = np.fromiter(map(local.__getitem__, others), np.int64, len(others)) * (3 * k)
-                seen += [word + before, word + after]
+                after = np.append(c + k * (1 + other), start + k)  # what follows a text is an end
+                word = ids[at] * (3 * k)
+                seen += [word + np.append(start, c)[at], word + after[at + 1]]
                 held += 2 * len(at)
-                if len(local) > HELD or held > 4 * HELD:
+                if len(number) > HELD or held > 4 * HELD:
                     yield out()
-                    held = 0
+                    number, kind, held = _Numbers(core), of[: len(core)], 0
         if seen:
             yield out()
 
@@ -189,7 +190,10 @@ def _contexts(texts: DataFrame, core: list[bytes], of: np.ndarray) -> DataFrame:
 
 
 class _Numbers(dict):
-    """Numbers of words, in the order in which they are first asked for."""
+    """Numbers of words, in the order in which they are first asked for, after those of first."""
+
+    def __init__(self, first: list[bytes]):
+        super().__init__((w, k) for k, w in enumerate(first))
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
