@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -254,12 +254,29 @@ def _ending() -> Column:
     return F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")), F.lit(ENDINGS))
 
 
-def _filled(seq: bytes, found: list[dict]) -> np.ndarray:
-    """The classes of a text after its start, with those of found put in."""
-    at = np.frombuffer(seq, np.int16).astype(np.int64)
-    for r in found:
-        at[r["at"]] = r["class"]
-    return at
+def _lists(lengths: Sequence[int], values: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Lists of the given lengths over values."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), values).cast(kind)
+
+
+def _steps(seq: pa.Array, found: pa.Array, transition: np.ndarray) -> np.ndarray:
+    """The sum over each text's transitions, 0 where seq is null. seq holds the classes of a text after its start as int16,
+    found the classes of those that were not known, with their places (at)."""
+    texts = [s or b"" for s in seq.to_pylist()]
+    total, lengths = np.zeros(len(texts)), np.array([len(s) // 2 for s in texts], np.int64)
+    rows = np.flatnonzero(lengths)
+    if not len(rows):
+        return total
+    at = np.frombuffer(b"".join(texts), np.int16).astype(np.int64)
+    first = np.cumsum(lengths) - lengths
+    of_row = np.repeat(np.arange(len(texts)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    words = found.flatten()
+    times = words.field("at").value_lengths().to_numpy(zero_copy_only=False)
+    at[np.repeat(first[of_row], times) + words.field("at").flatten().to_numpy()] = np.repeat(words.field("class").to_numpy(), times)
+    steps = np.append(transition[at[:-1], at[1:]], 0.0)
+    steps[(first + lengths - 1)[rows]] = 0.0  # from one text to the next
+    total[rows] = np.add.reduceat(steps, first[rows])
+    return total
 
 
 def train(docs: DataFrame, text_col: str = "text", units: int = UNITS, classes: int = CLASSES, known: int = KNOWN) -> Model:
@@ -343,6 +360,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, own double, seq binary, rare array<struct<word:binary,times:int,at:array<int>>>"
     arrow = common.arrow_schema(schema)
+    kind = arrow.field("rare").type.value_type
     names, counts = list(model.known), np.array(list(model.known.values()), np.int64)
     frequent, classes, transition, start, trained = model.frequent, model.classes, model.transition, model.start, model.train_tokens > 0
     base = model.base(counts)
@@ -355,19 +373,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         none = len(names)
         for batch in batches:
             out: list[tuple] = []
+            words, times, places = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = tokens(text)
-                at = np.fromiter((number.get(w, none) for w in found), np.int64, len(found))
+                at = np.fromiter(map(number.get, found, repeat(none)), np.int64, len(found))
                 which, unknown = class_of[at], np.flatnonzero(at == none)
                 rare: dict[bytes, list[int]] = {}
                 for k in unknown.tolist():
                     rare.setdefault(found[k], []).append(k + 1)
                 which = np.append(start, which)
                 steps = transition[which[:-1], which[1:]].sum() if trained and not rare else 0.0
-                words = [{"word": w, "times": len(k), "at": k} for w, k in rare.items()]
-                out.append((row, doc_id, len(found), len(found) - len(unknown), base_of[at].sum(), steps + emitted_of[at].sum(), which.astype(np.int16).tobytes() if rare else None, words))
+                words += rare
+                times += map(len, rare.values())
+                places += chain.from_iterable(rare.values())
+                out.append((row, doc_id, len(found), len(found) - len(unknown), base_of[at].sum(), steps + emitted_of[at].sum(), which.astype(np.int16).tobytes() if rare else None, len(rare)))
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow) if out else pa.RecordBatch.from_pylist([], arrow)
+            if out:
+                *flat, sizes = zip(*out, strict=True)
+                at = _lists(times, pa.array(places, pa.int32()), kind.field("at").type)
+                structs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32()), at], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(flat, arrow)), _lists(sizes, structs, arrow.field("rare").type)], schema=arrow)
 
     told = common.stored(rows.mapInArrow(run, schema))
     listed = told.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.at").join(model.vocabulary, "word", "left")
@@ -387,12 +412,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            own = []
-            for value, seq, found in zip(*(batch.column(c).to_pylist() for c in ("own", "seq", "found")), strict=True):
-                if seq is not None and trained:
-                    at = _filled(seq, found)
-                    value += transition[at[:-1], at[1:]].sum()
-                own.append(value)
+            own = batch.column("own").to_numpy()
+            if trained:
+                own = own + _steps(batch.column("seq"), batch.column("found"), transition)
             return {n: batch.column(n) for n in ("doc_id", "n_tokens", "n_known", "base")} | {"own": own}
 
         return work
