@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits
 
+#: Columns of which all combinations are listed.
+MOST_SUMMED = 20
+
 
 def transpose(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("r").cast("long").alias("idx"), F.col("idx").cast("long").alias("r"))
@@ -64,7 +67,10 @@ def row_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def row_summations(entries: DataFrame, rank: int) -> DataFrame:
-    """(m, rows): for each combination m of columns, the sorted rows that have one of them."""
+    """(m, rows): for each combination m of columns, the sorted rows that have one of them. There are 2 ** rank of them, so
+    ranks over MOST_SUMMED are refused."""
+    if rank > MOST_SUMMED:
+        raise ValueError(f"rank must be at most {MOST_SUMMED}: {rank}")
     each = entries.sparkSession.range(1 << rank).select(F.col("id").alias("m"), F.explode(bits.columns_of(F.col("id"), rank)).alias("r"))
     found = each.join(entries.select(F.col("r").cast("int").alias("r"), "idx"), "r")
     return found.groupBy("m").agg(F.sort_array(F.collect_set("idx")).alias("rows"))

@@ -48,4 +48,4 @@ def error(tensor: DataFrame, dims: Dims, masks: dict[str, DataFrame], core: Data
     hits = contains(tensor, dims, masks, core).agg(F.count("*").alias("nnz"), F.count_if("has").alias("hits"))
     wrong = F.col("nnz") + F.col("recon_nnz") - 2 * F.col("hits")
     both = hits.join(F.broadcast(size), F.lit(True))  # one row each
-    return both.select("nnz", "recon_nnz", "hits", wrong.alias("abs_error"), (wrong / F.lit(dims.cells)).alias("rel_error"))
+    return both.select("nnz", "recon_nnz", "hits", wrong.alias("abs_error"), (wrong / F.lit(float(dims.cells))).alias("rel_error"))

@@ -40,7 +40,7 @@ def tie_draw(seed: int, zero_probability: float, idx: Column, *key: int) -> Colu
 
 def capped(chosen: DataFrame, rows: int, most_zeros: float) -> DataFrame:
     """(idx, m, d, bit): chosen, with the cheapest surplus zeros turned to ones, by (d, idx), so that at most
-    floor(rows * most_zeros) are left. Only a column with a surplus is ranked, and only its zeros."""
+    floor(rows * most_zeros) are left. All rows are ranked, in one window for each bit."""
     most = int(rows * most_zeros)
     w = Window.partitionBy("bit").orderBy("d", "idx")
     ranked = chosen.withColumn("n", F.count("*").over(Window.partitionBy("bit"))).withColumn("k", F.row_number().over(w))
