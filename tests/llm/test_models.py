@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bitloom.llm import language, lm, quality, queries
@@ -191,3 +192,27 @@ def test_words_past_the_units_are_classed_by_their_contexts(spark):
     x, y = ({c for w, c in found.items() if w.startswith(a)} for a in (b"x", b"y"))
     assert len(found) == 327 and len(x) == len(y) == 1 and x != y
     assert 10 ** model.transition[found[b"le"], next(iter(x))] > 0.8
+
+
+def test_steps_are_sums_over_each_text_with_the_found_classes_put_in():
+    rng = np.random.default_rng(2)
+    transition = rng.random((5, 5))
+    found_type = pa.list_(pa.struct([("class", pa.int32()), ("at", pa.list_(pa.int32()))]))
+    seqs, found, expected = [], [], []
+    for n in (4, 0, 2, 9, 0, 7):
+        if not n:  # all words known: the sum is made elsewhere
+            seqs.append(None)
+            found.append(None)
+            expected.append(0.0)
+            continue
+        at = rng.integers(0, 5, n)
+        places = rng.permutation(np.arange(1, n))[: max(1, n // 2)]
+        words = [{"class": int(at[p]), "at": [int(p)]} for p in places[1:]] + [{"class": int(at[places[0]]), "at": [int(places[0])]}]
+        blank = at.copy()
+        blank[places] = -1
+        seqs.append(blank.astype(np.int16).tobytes())
+        found.append(words)
+        expected.append(sum(transition[a, b] for a, b in zip(at[:-1], at[1:], strict=True)))
+    got = lm._steps(pa.array(seqs, pa.binary()), pa.array(found, found_type), transition)
+    assert got == pytest.approx(expected)
+    assert list(lm._steps(pa.array([None], pa.binary()), pa.array([None], found_type), transition)) == [0.0]
