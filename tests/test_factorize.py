@@ -7,7 +7,7 @@ import pytest
 
 from bitloom import schema
 from bitloom.operators import masks as mk
-from bitloom.operators import reconstruct, update
+from bitloom.operators import matrix, reconstruct, update
 from bitloom.plans import core as core_plan
 from bitloom.plans import factorize
 from bitloom.schema import Config, Dims
@@ -159,3 +159,14 @@ def test_empty_tensor(spark):
     config = Config(DIMS, "tk", ranks=(2, 2, 2), density=0.2, core_density=0.2, seed=1, iterations=1)
     result = factorize.factorize(spark.createDataFrame([], schema.TENSOR), config, "end")
     assert result.error is not None and result.error >= 0
+
+
+def test_error_of_more_cells_than_a_long_counts(spark):
+    one = {c: spark.createDataFrame([(0, 1)], schema.MASKS) for c in "ijk"}
+    row = reconstruct.error(spark.createDataFrame([(0, 0, 0)], schema.TENSOR), Dims(1 << 22, 1 << 22, 1 << 22), one).first()
+    assert (row.nnz, row.recon_nnz, row.hits, row.abs_error, row.rel_error) == (1, 1, 1, 0, 0.0)
+
+
+def test_row_summations_of_too_many_columns_are_refused(spark):
+    with pytest.raises(ValueError):
+        matrix.row_summations(spark.createDataFrame([(0, 0)], schema.FACTOR), matrix.MOST_SUMMED + 1)
