@@ -53,9 +53,11 @@ def core_table(spark: SparkSession, core: set[tuple[int, int, int]] | None) -> D
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without lineage, in the shared checkpoint folder."""
+    """df without lineage, in the shared checkpoint folder; only in local mode a temporary one may stand in for it."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bitloom-"))
     return df.checkpoint()
 
