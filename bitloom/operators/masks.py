@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits
 from bitloom.operators.tensor import MODES, length
-from bitloom.schema import BROADCAST_ROWS, Dims
+from bitloom.schema import BROADCAST_ROWS, MOST_RANK, Dims
 
 
 def bounded(masks: DataFrame, rows: int) -> DataFrame:
@@ -45,13 +45,13 @@ def core_for(core: DataFrame | None, mode: int) -> DataFrame | None:
 def cell_masks(pairs: DataFrame, core: DataFrame | None) -> DataFrame:
     """pairs of masks (s, f) of the slow and the fast mode, with w: the mask of their cells. Masks of 0 are left out.
 
-    A core has as many rows as the ranks allow and is broadcast.
+    A core has as many rows as the ranks allow and is broadcast; pairs meet it by the columns of their slow mode's row.
     """
     if core is None:
         return pairs.withColumn("w", F.col("s").bitwiseAND(F.col("f"))).where("w <> 0")
-    one = F.lit(1).cast("long")
-    has = (F.call_function("shiftright", F.col("s"), F.col("b")).bitwiseAND(one) == 1) & (F.call_function("shiftright", F.col("f"), F.col("c")).bitwiseAND(one) == 1)
-    found = pairs.select("s", "f").distinct().join(F.broadcast(core), has)
+    has = F.call_function("shiftright", F.col("f"), F.col("c")).bitwiseAND(F.lit(1).cast("long")) == 1
+    each = pairs.select("s", "f").distinct().select("s", "f", F.explode(bits.columns_of(F.col("s"), MOST_RANK)).alias("b"))
+    found = each.join(F.broadcast(core.withColumn("b", F.col("b").cast(each.schema["b"].dataType))), "b").where(has)
     found = found.groupBy("s", "f").agg(F.bit_or(bits.bit(F.col("a"))).alias("w"))
     return pairs.join(found, ["s", "f"])
 

@@ -2,49 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.functions import bits
 from bitloom.operators import masks as mk
-from bitloom.schema import Dims
+from bitloom.operators import update
+from bitloom.operators.tensor import MODES
+from bitloom.schema import MOST_RANK, Dims
 
 
-def cp(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
-    """The cells that some column covers, from entries (idx, r)."""
-    side = lambda f, n: f.select(F.col("idx").alias(n), "r")
-    return side(a, "i").join(side(b, "j"), "r").join(side(c, "k"), "r").select("i", "j", "k").distinct()
+def _kinds(entries: DataFrame, c: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a mode (index c, m_<c>) that have entries, and (m_<c>, r) of the distinct ones."""
+    rows = entries.groupBy(F.col("idx").alias(c)).agg(F.bit_or(bits.bit(F.col("r"))).alias(f"m_{c}"))
+    kinds = rows.select(f"m_{c}").distinct()
+    return rows, kinds.select(f"m_{c}", F.explode(bits.columns_of(F.col(f"m_{c}"), MOST_RANK).cast("array<bigint>")).alias("r"))
 
 
-def tucker(core: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
-    side = lambda f, n, r: f.select(F.col("idx").alias(n), F.col("r").cast("int").alias(r))
-    return F.broadcast(core).join(side(a, "i", "r1"), "r1").join(side(b, "j", "r2"), "r2").join(side(c, "k", "r3"), "r3").select("i", "j", "k").distinct()
+def _cells(patterns: DataFrame, rows: list[DataFrame]) -> DataFrame:
+    """The cells of patterns of rows. Patterns are distinct, and so are the cells."""
+    patterns = patterns.select("m_i", "m_j", "m_k").distinct()
+    for side, c in zip(rows, "ijk", strict=True):
+        patterns = patterns.join(side, f"m_{c}")
+    return patterns.select("i", "j", "k")
 
 
-def covered(core: DataFrame | None) -> Column:
-    """Whether a cell with row masks m_i, m_j, m_k is covered. The core, of at most as many entries as the ranks allow, becomes
-    part of the expression."""
-    if core is None:
-        return F.col("m_i").bitwiseAND(F.col("m_j")).bitwiseAND(F.col("m_k")) != 0
-    found = F.lit(False)
-    for r1, r2, r3 in core.select("r1", "r2", "r3").toLocalIterator():
-        has = [F.col(f"m_{c}").bitwiseAND(F.lit(1 << r).cast("long")) != 0 for c, r in zip("ijk", (r1, r2, r3), strict=True)]
-        found = found | (has[0] & has[1] & has[2])
-    return found
+def cp(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
+    """The cells that some column covers, from entries (idx, r). Only distinct rows meet by their columns."""
+    rows, kinds = zip(*(_kinds(f, n) for f, n in zip((a, b, c), "ijk", strict=True)), strict=True)
+    return _cells(kinds[0].join(kinds[1], "r").join(kinds[2], "r"), rows)
+
+
+def tucker(core: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
+    rows, kinds = zip(*(_kinds(f, n) for f, n in zip((a, b, c), "ijk", strict=True)), strict=True)
+    found = F.broadcast(core.select(*(F.col(n).cast("long").alias(n) for n in ("r1", "r2", "r3"))))
+    for n, k in enumerate(kinds, 1):
+        found = found.join(k.withColumnRenamed("r", f"r{n}"), f"r{n}")
+    return _cells(found, rows)
 
 
 def contains(cells: DataFrame, dims: Dims, masks: dict[str, DataFrame], core: DataFrame | None = None) -> DataFrame:
     """Cells with has: whether the reconstruction has them."""
-    return mk.joined(cells, dims, masks, "ijk").select("i", "j", "k", covered(core).alias("has"))
+    found = mk.joined(cells, dims, masks, "ijk")
+    if core is None:
+        return found.select("i", "j", "k", (F.col("m_i").bitwiseAND(F.col("m_j")).bitwiseAND(F.col("m_k")) != 0).alias("has"))
+    slow, fast = (F.col(f"m_{c}") for c in MODES[1][1:])
+    w = mk.cell_masks(found.select(slow.alias("s"), fast.alias("f")).distinct(), mk.core_for(core, 1))
+    both = found.join(w, (slow == F.col("s")) & (fast == F.col("f")), "left")
+    return both.select("i", "j", "k", F.coalesce(F.col("m_i").bitwiseAND(F.col("w")) != 0, F.lit(False)).alias("has"))
 
 
-def error(tensor: DataFrame, dims: Dims, masks: dict[str, DataFrame], core: DataFrame | None = None) -> DataFrame:
+def error(tensor: DataFrame, dims: Dims, masks: dict[str, DataFrame], core: DataFrame | None = None, rank: int = MOST_RANK) -> DataFrame:
     """(nnz, recon_nnz, hits, abs_error, rel_error), without building the reconstruction.
 
-    Its size comes from the mode-1 statistics of distinct masks: cells that a row covers are those whose masks share a bit.
+    Its size comes from the mode-1 statistics of distinct masks: cells that a row covers are all but those whose masks share
+    no bit with it. rank is that of mode 1, if known.
     """
     _, h = mk.statistics(tensor.limit(0), dims, masks, 1, core)
     rows = mk.histogram(masks["i"])
-    size = h.join(mk.bounded(rows, dims.i), F.col("m").bitwiseAND(F.col("w")) != 0).agg(F.coalesce(F.sum(F.col("n") * F.col("h")), F.lit(0)).cast("long").alias("recon_nnz"))
+    apart = update.disjoint_sums(rows.select("m"), h, rank)
+    whole = h.agg(F.coalesce(F.sum("h"), F.lit(0)).alias("whole"))
+    size = rows.join(apart, "m", "left").join(F.broadcast(whole), F.lit(True))  # one row
+    size = size.agg(F.coalesce(F.sum(F.col("n") * (F.col("whole") - F.coalesce("total", F.lit(0)))), F.lit(0)).cast("long").alias("recon_nnz"))
     hits = contains(tensor, dims, masks, core).agg(F.count("*").alias("nnz"), F.count_if("has").alias("hits"))
     wrong = F.col("nnz") + F.col("recon_nnz") - 2 * F.col("hits")
     both = hits.join(F.broadcast(size), F.lit(True))  # one row each

@@ -12,36 +12,58 @@ the sweep. The walk over the core is sequential by its rule.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.functions.select import cut
 from bitloom.operators import masks as mk
 from bitloom.schema import Dims
 
 
-class Patterns:
-    """Counts of nonzeros by mask patterns, and of all cells, on the driver: as many as distinct patterns, not cells."""
+#: Patterns of masks, of 32 bytes, up to which a sweep runs on the driver.
+MOST_PATTERNS = 500_000
 
-    def __init__(self, tensor: DataFrame, dims: Dims, masks: dict[str, DataFrame]):
-        found = mk.patterns(tensor, dims, masks).toArrow()
-        self.rows = np.stack([found[c].to_numpy().astype(np.int64) for c in "abc"], 1) if found.num_rows else np.zeros((0, 3), np.int64)
-        self.cnt = found["cnt"].to_numpy().astype(np.int64)
-        self.of = [{int(m): int(n) for m, n in mk.histogram(masks[c]).toLocalIterator()} for c in "ijk"]
-        self.seen = {tuple(r): int(n) for r, n in zip(self.rows.tolist(), self.cnt.tolist(), strict=True)}
+
+class Patterns:
+    """Counts of nonzeros by mask patterns, and of rows by mask, on the driver if there are few, else in the checkpoint folder."""
+
+    def __init__(self, tensor: DataFrame, dims: Dims, masks: dict[str, DataFrame], most: int = MOST_PATTERNS):
+        tables = [mk.patterns(tensor, dims, masks), *(mk.histogram(masks[c]) for c in "ijk")]
+        few = [t.limit(most + 1).toArrow() for t in tables]
+        self.stored = None
+        if max(t.num_rows for t in few) > most:
+            self.stored = [cut(t) for t in tables]
+            return
+        few = [[t[c].to_numpy().astype(np.int64) for c in t.column_names] for t in few]
+        self.rows, self.cnt, self.of = few[0][:3], few[0][3], few[1:]
 
     def uncovered_nonzero(self, cell: tuple[int, int, int], used: list[int]) -> bool:
         """Whether the support of cell has a nonzero of which a row has no used column."""
-        if not len(self.rows):
-            return False
-        support = np.all([self.rows[:, n] >> r & 1 for n, r in enumerate(cell)], axis=0)
-        empty = np.any([(self.rows[:, n] & u) == 0 for n, u in enumerate(used)], axis=0)
+        if self.stored:
+            support, empty = F.lit(True), F.lit(False)
+            for c, r, u in zip("abc", cell, used, strict=True):
+                support, empty = support & _has(c, r), empty | (F.col(c).bitwiseAND(F.lit(u).cast("long")) == 0)
+            return not self.stored[0].where(support & empty).isEmpty()
+        support = np.all([m >> r & 1 for m, r in zip(self.rows, cell, strict=True)], axis=0)
+        empty = np.any([(m & u) == 0 for m, u in zip(self.rows, used, strict=True)], axis=0)
         return bool((support & empty).any())
 
     def lone_zero(self, cell: tuple[int, int, int], used: list[int]) -> bool:
-        """Whether the support of cell has a zero of which each row has one used column only."""
-        ones = [[(m, n) for m, n in self.of[k].items() if m >> r & 1 and (m & u).bit_count() == 1] for k, (r, u) in enumerate(zip(cell, used, strict=True))]
-        return any(na * nb * nc > self.seen.get((a, b, c), 0) for a, na in ones[0] for b, nb in ones[1] for c, nc in ones[2])
+        """Whether the support of cell has a zero of which each row has one used column only: whether there are more such cells
+        than nonzeros among them."""
+        if self.stored:
+            lone = lambda c, r, u: _has(c, r) & (F.bit_count(F.col(c).bitwiseAND(F.lit(u).cast("long"))) == 1)
+            total = lambda t, n, on: t.where(on).agg(F.sum(n)).first()[0] or 0
+            cells = math.prod(total(t, "n", lone("m", r, u)) for t, r, u in zip(self.stored[1:], cell, used, strict=True))
+            return cells > total(self.stored[0], "cnt", reduce(Column.__and__, (lone(c, r, u) for c, r, u in zip("abc", cell, used, strict=True))))
+        lone = lambda m, r, u: (m >> r & 1 == 1) & (np.bitwise_count(m & u) == 1)
+        cells = math.prod(int(n[lone(m, r, u)].sum()) for (m, n), r, u in zip(self.of, cell, used, strict=True))
+        hits = np.all([lone(m, r, u) for m, r, u in zip(self.rows, cell, used, strict=True)], axis=0)
+        return cells > int(self.cnt[hits].sum())
 
 
 def used_columns(core: set[tuple[int, int, int]]) -> list[int]:

@@ -1,7 +1,7 @@
 """Boolean CP and Tucker factorization by alternating greedy updates.
 
-Each factor update aggregates the tensor once to the statistics S and H (operators.masks) and then sweeps over its columns. If S
-is small (MOST_STATISTICS rows) the sweep runs on the driver in numpy; otherwise each column is a distributed update whose
+Each factor update aggregates the tensor once to the statistics S and H (operators.masks) and then sweeps over its columns. If
+those are small (MOST_STATISTICS rows) the sweep runs on the driver in numpy; otherwise each column is a distributed update whose
 result is checkpointed. Both give the same bits. Masks are all that passes from one update to the next, so that plans do
 not grow.
 """
@@ -9,7 +9,6 @@ not grow.
 from __future__ import annotations
 
 import logging
-import tempfile
 import time
 from dataclasses import dataclass, field, replace
 
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits, draw
+from bitloom.functions.select import cut
 from bitloom.operators import masks as mk
 from bitloom.operators import matrix, reconstruct, update
 from bitloom.operators.tensor import MODES, length
@@ -26,7 +26,7 @@ from bitloom.plans import random
 from bitloom.schema import CORE, MASKS, Config
 
 log = logging.getLogger("bitloom")
-#: Rows of S, of 24 bytes, up to which a sweep runs on the driver.
+#: Rows of S, H and the factor, of up to 24 bytes, up to which a sweep runs on the driver.
 MOST_STATISTICS = 500_000
 
 
@@ -52,21 +52,11 @@ def core_table(spark: SparkSession, core: set[tuple[int, int, int]] | None) -> D
     return None if core is None else spark.createDataFrame(sorted(core), CORE)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without lineage, in the shared checkpoint folder; only in local mode a temporary one may stand in for it."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bitloom-"))
-    return df.checkpoint()
-
-
 def start(spark: SparkSession, config: Config, candidate: int) -> Model:
     seed = (config.seed or 0) * 1000 + candidate * 10
     masks = {}
     for n, (c, rows, rank) in enumerate(zip("ijk", config.dims, config.all_ranks, strict=True)):
-        masks[c] = _cut(matrix.bit_rows(random.factor(spark, rows, rank, config.density, seed + n), rows))
+        masks[c] = cut(matrix.bit_rows(random.factor(spark, rows, rank, config.density, seed + n), rows))
     core = None
     if config.method == "tk":
         core = {tuple(r) for r in random.core(spark, config.ranks, config.core_density, seed + 3).collect()}
@@ -80,7 +70,7 @@ def factor_sweep(tensor: DataFrame, config: Config, model: Model, mode: int, ite
     s, h = mk.statistics(tensor, config.dims, model.masks, mode, core_table(spark, model.core))
     s, h = s.cache(), h.cache()
     try:
-        if rows + s.count() <= MOST_STATISTICS:
+        if rows + s.count() + h.count() <= MOST_STATISTICS:
             masks, delta, changes = _small(spark, s, h, model.masks[column], rows, rank, config, mode, iteration)
         else:
             masks, delta, changes = _large(s, h, model.masks[column], rows, rank, config, mode, iteration)
@@ -94,7 +84,7 @@ def _large(s: DataFrame, h: DataFrame, masks: DataFrame, rows: int, rank: int, c
     delta = changes = 0
     for r in range(rank):
         tie = update.tie_draw(config.seed or 0, config.zero_probability, F.col("idx"), iteration, mode, r)
-        new = _cut(update.column_update(masks, s, h, r, rows, config.most_zeros, tie, rank))
+        new = cut(update.column_update(masks, s, h, r, rows, config.most_zeros, tie, rank))
         found = update.column_delta(new).first()
         delta, changes, masks = delta + (found["delta"] or 0), changes + (found["bit_updates"] or 0), new.select("idx", "m")
     return masks, delta, changes
@@ -143,7 +133,7 @@ def sweep(tensor: DataFrame, config: Config, model: Model, iteration: int) -> Mo
 
 
 def model_error(tensor: DataFrame, config: Config, model: Model) -> dict:
-    return reconstruct.error(tensor, config.dims, model.masks, core_table(tensor.sparkSession, model.core)).first().asDict()
+    return reconstruct.error(tensor, config.dims, model.masks, core_table(tensor.sparkSession, model.core), config.all_ranks[0]).first().asDict()
 
 
 class Convergence:
