@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits
+from bitloom.functions.select import cut
 from bitloom.operators import masks as mk
 from bitloom.operators import matrix, ranges, reconstruct, tensor, update
 from bitloom.oracle import COLUMN, CORE, FACTORS, RANK, RANKS, SQL
 from bitloom.plans import core as core_plan
 from bitloom.plans import factorize, random
 from bitloom.schema import CORE as CORE_SCHEMA
-from bitloom.schema import Config
+from bitloom.schema import Config, Dims
 from bitloom.sources import sinks, text
 from bitloom.sources.tables import SUPPLY as DIMS
-from bitloom.sources.tables import events, supply
+from bitloom.sources.tables import events, supply, wide, wide_dims
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
@@ -110,8 +111,6 @@ def unfold_mode3(spark, sf_dir):
 
 @query
 def unfold_core(spark, sf_dir):
-    from bitloom.schema import Dims
-
     return tensor.unfold(core(spark).toDF("i", "j", "k"), Dims(*RANKS), 1)
 
 
@@ -296,18 +295,18 @@ def row_distance(spark, sf_dir):
 
 @query
 def cp_error(spark, sf_dir):
-    return reconstruct.error(supply(spark, sf_dir), DIMS, cp_masks(spark))
+    return reconstruct.error(supply(spark, sf_dir), DIMS, cp_masks(spark), rank=RANK)
 
 
 @query
 def tk_error(spark, sf_dir):
-    return reconstruct.error(supply(spark, sf_dir), DIMS, tk_masks(spark), core(spark))
+    return reconstruct.error(supply(spark, sf_dir), DIMS, tk_masks(spark), core(spark), RANKS[0])
 
 
 @query
 def best_candidate(spark, sf_dir):
     t = supply(spark, sf_dir)
-    tried = [reconstruct.error(t, DIMS, cp_masks(spark, shift=k)).select("abs_error", F.lit(k).cast("long").alias("candidate")) for k in range(3)]
+    tried = [reconstruct.error(t, DIMS, cp_masks(spark, shift=k), rank=RANK).select("abs_error", F.lit(k).cast("long").alias("candidate")) for k in range(3)]
     best = reduce(DataFrame.unionAll, tried).agg(F.min(F.struct("abs_error", "candidate")).alias("b"))
     return best.select("b.candidate", "b.abs_error")
 
@@ -316,7 +315,7 @@ def _deltas(mode: int, tucker: bool):
     def run(spark, sf_dir):
         masks, own = (tk_masks(spark), core(spark)) if tucker else (cp_masks(spark), None)
         s, h = mk.statistics(supply(spark, sf_dir), DIMS, masks, mode, own)
-        return update.deltas(masks[tensor.MODES[mode][0]], s, h, COLUMN).select("idx", "d")
+        return update.deltas(masks[tensor.MODES[mode][0]], s, h, COLUMN, RANKS[mode - 1] if tucker else RANK).select("idx", "d")
 
     return run
 
@@ -329,7 +328,7 @@ for _mode in (1, 2, 3):
 def _update(spark: SparkSession, sf_dir: str, most_zeros: float) -> DataFrame:
     masks = cp_masks(spark)
     s, h = mk.statistics(supply(spark, sf_dir), DIMS, masks, 1)
-    return update.column_update(masks["i"], s, h, COLUMN, DIMS.i, most_zeros)
+    return update.column_update(masks["i"], s, h, COLUMN, DIMS.i, most_zeros, rank=RANK)
 
 
 @query
@@ -423,13 +422,13 @@ def cp_factor_update(spark, sf_dir):
 
 @query
 def cp_sweep(spark, sf_dir):
-    model = factorize.sweep(supply(spark, sf_dir).cache(), _config("cp"), factorize.Model(cp_masks(spark)), 1)
+    model = factorize.sweep(cut(supply(spark, sf_dir)), _config("cp"), factorize.Model(cp_masks(spark)), 1)
     return factorize.entries(model, (RANK,) * 3)
 
 
 @query
 def tk_sweep(spark, sf_dir):
-    model = factorize.sweep(supply(spark, sf_dir).cache(), _config("tk"), factorize.Model(tk_masks(spark), set(CORE)), 1)
+    model = factorize.sweep(cut(supply(spark, sf_dir)), _config("tk"), factorize.Model(tk_masks(spark), set(CORE)), 1)
     return factorize.entries(model, RANKS)
 
 
@@ -451,6 +450,45 @@ def tk_factorize(spark, sf_dir):
     return spark.createDataFrame(result.history, "iteration long, delta long, bit_updates long, abs_error long")
 
 
+def wide_masks(spark: SparkSession, dims: Dims) -> dict[str, DataFrame]:
+    """Bit rows of arithmetic factors of any length."""
+    out = {}
+    for c, n in zip("ijk", dims, strict=True):
+        p = FACTORS[c][1]
+        on = [F.when((F.col("id") * p + r * 101 + 11) % 97 < 30, F.lit(1 << r)).otherwise(F.lit(0)) for r in range(RANK)]
+        out[c] = spark.range(n).select(F.col("id").alias("idx"), reduce(Column.__add__, on).cast("long").alias("m"))
+    return out
+
+
+@query
+def wide_slice_counts(spark, sf_dir):
+    t = wide(spark, sf_dir)
+    return reduce(DataFrame.unionAll, (tensor.slice_counts(t, n).select(F.lit(n).cast("long").alias("mode"), "idx", "cnt") for n in (1, 2, 3)))
+
+
+@query
+def wide_error(spark, sf_dir):
+    dims = wide_dims(spark, sf_dir)
+    return reconstruct.error(wide(spark, sf_dir), dims, wide_masks(spark, dims), rank=RANK)
+
+
+@query
+def wide_error_delta(spark, sf_dir):
+    dims = wide_dims(spark, sf_dir)
+    masks = wide_masks(spark, dims)
+    s, h = mk.statistics(wide(spark, sf_dir), dims, masks, 2)
+    return update.deltas(masks["j"], s, h, COLUMN, RANK).select("idx", "d")
+
+
+@query
+def wide_column_update(spark, sf_dir):
+    dims = wide_dims(spark, sf_dir)
+    masks = wide_masks(spark, dims)
+    s, h = mk.statistics(wide(spark, sf_dir), dims, masks, 2)
+    new = update.column_update(masks["j"], s, h, COLUMN, dims.j, 0.5, rank=RANK)
+    return new.select("idx", "d", F.col("old").cast("long").alias("old"), F.col("bit").cast("long").alias("bit"), "m")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CP factorization of the supply tensor: the error of each iteration."""
     return cp_factorize(spark, sf_dir)

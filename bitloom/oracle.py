@@ -144,3 +144,60 @@ SQL |= {f"{'tk' if tk else 'cp'}_error_delta_mode{n}": f"{deltas(n, tk)} SELECT
 SQL["best_candidate"] = "WITH e AS (" + " UNION ALL ".join(
     f"SELECT CAST({k} AS BIGINT) AS candidate, (SELECT abs_error FROM (WITH {T}, {', '.join(f(c, shift=k) for c in 'ijk')}, x AS (SELECT DISTINCT fi.idx AS i, fj.idx AS j, fk.idx AS k FROM fi JOIN fj USING (r) JOIN fk USING (r)) {CELL_ERROR})) AS abs_error" for k in range(3)
 ) + ") SELECT candidate, abs_error FROM e ORDER BY abs_error, candidate LIMIT 1"
+
+
+def factor_update() -> str:
+    """All columns of mode 1 in turn, ties to 0, at most 28 of 30 zeros: each cell counted anew for each column."""
+    steps = [f"WITH {T}, {MASKS}, w AS MATERIALIZED (SELECT mj.idx AS j, mk.idx AS k, mj.m & mk.m AS w FROM mj, mk), n0 AS (SELECT idx, m FROM mi)"]
+    for r in range(RANK):
+        b = 1 << r
+        steps.append(f"""d{r} AS (SELECT n.idx, any_value(n.m) AS m, coalesce(sum(CASE WHEN w.w IS NULL THEN 0 WHEN t.i IS NULL THEN 1 ELSE -1 END), 0) AS d
+  FROM n{r} n LEFT JOIN w ON (w.w & {b}) <> 0 AND (n.m & w.w & ~CAST({b} AS BIGINT)) = 0 LEFT JOIN t ON t.i = n.idx AND t.j = w.j AND t.k = w.k GROUP BY n.idx),
+  k{r} AS (SELECT *, row_number() OVER (PARTITION BY d < 0 ORDER BY d, idx) AS place, count(*) OVER (PARTITION BY d < 0) AS n FROM d{r}),
+  n{r + 1} AS MATERIALIZED (SELECT idx, (m & ~CAST({b} AS BIGINT)) | CASE WHEN d < 0 OR place <= n - 28 THEN {b} ELSE 0 END AS m FROM k{r})""")
+    return ",\n  ".join(steps) + f" SELECT idx, CAST(m AS BIGINT) AS m FROM n{RANK}"
+
+
+def core_sweep() -> str:
+    """The elements of the core in turn, each decided on the cells of the tensor with the core as it is then."""
+    cells = """x AS MATERIALIZED (SELECT mi.m AS x, mj.m AS y, mk.m AS z, t.i IS NOT NULL AS one FROM mi CROSS JOIN mj CROSS JOIN mk
+  LEFT JOIN t ON t.i = mi.idx AND t.j = mj.idx AND t.k = mk.idx)"""
+    steps = [f"WITH {T}, {TK_MASKS}, {G}, {cells}, g0 AS (SELECT a, b, c FROM g)"]
+    for n, (a, b, c) in enumerate((a, b, c) for a in range(RANKS[0]) for b in range(RANKS[1]) for c in range(RANKS[2])):
+        at = f"a = {a} AND b = {b} AND c = {c}"
+        used = ", ".join(f"CAST(coalesce(bit_or(CAST(pow(2, {e}) AS BIGINT)), 0) AS BIGINT) AS {u}" for e, u in zip("abc", "pqr", strict=True))
+        here = f"(x >> {a}) % 2 = 1 AND (y >> {b}) % 2 = 1 AND (z >> {c}) % 2 = 1"
+        steps.append(f"""u{n} AS (SELECT {used}, count_if({at}) > 0 AS has FROM g{n}),
+  f{n} AS MATERIALIZED (SELECT any_value(has) AS has, bool_or(CASE WHEN has THEN NOT one AND bit_count(x & p) = 1 AND bit_count(y & q) = 1 AND bit_count(z & r) = 1
+    ELSE one AND ((x & p) = 0 OR (y & q) = 0 OR (z & r) = 0) END) FILTER ({here}) AS flip FROM x, u{n}),
+  g{n + 1} AS MATERIALIZED (SELECT a, b, c FROM g{n} WHERE NOT ({at}) UNION ALL SELECT CAST({a} AS BIGINT), CAST({b} AS BIGINT), CAST({c} AS BIGINT) FROM f{n} WHERE has <> coalesce(flip, false))""")
+    return ",\n  ".join(steps) + f" SELECT CAST(a AS INTEGER) AS r1, CAST(b AS INTEGER) AS r2, CAST(c AS INTEGER) AS r3 FROM g{n + 1}"
+
+
+def wide_mask(c: str, n: str) -> str:
+    p = FACTORS[c][1]
+    ones = " + ".join(f"CASE WHEN (v * {p} + {r * 101 + 11}) % 97 < 30 THEN {1 << r} ELSE 0 END" for r in range(RANK))
+    return f"m{c} AS MATERIALIZED (SELECT CAST(v AS BIGINT) AS idx, CAST({ones} AS BIGINT) AS m FROM range((SELECT {n} FROM l)) x(v))"
+
+
+WIDE_T = """t AS MATERIALIZED (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j,
+  CAST((year(l_shipdate) - 1990) * 12 + month(l_shipdate) - 1 AS BIGINT) AS k FROM lineitem)"""
+WIDE = f"""{WIDE_T}, l AS (SELECT max(i) + 1 AS ni, max(j) + 1 AS nj, max(k) + 1 AS nk FROM t),
+  {", ".join(wide_mask(c, f"n{c}") for c in "ijk")}"""
+WIDE_D = f"""w AS MATERIALIZED (SELECT mi.m & mk.m AS w, count(*) AS n FROM mi, mk GROUP BY 1),
+  h AS (SELECT mj.idx, sum(w.n) AS n FROM mj JOIN w ON (w.w & {1 << COLUMN}) <> 0 AND (mj.m & w.w & ~CAST({1 << COLUMN} AS BIGINT)) = 0 GROUP BY 1),
+  o AS (SELECT t.j AS idx, count(*) AS n FROM t JOIN mi ON mi.idx = t.i JOIN mj ON mj.idx = t.j JOIN mk ON mk.idx = t.k
+    WHERE (mi.m & mk.m & {1 << COLUMN}) <> 0 AND (mi.m & mj.m & mk.m & ~CAST({1 << COLUMN} AS BIGINT)) = 0 GROUP BY 1),
+  d AS (SELECT mj.idx, mj.m, CAST(coalesce(h.n, 0) - 2 * coalesce(o.n, 0) AS BIGINT) AS d FROM mj LEFT JOIN h USING (idx) LEFT JOIN o USING (idx))"""
+
+SQL["cp_factor_update"] = factor_update()
+SQL["core_update"] = core_sweep()
+SQL["wide_slice_counts"] = f"WITH {WIDE_T} SELECT CAST(1 AS BIGINT) AS mode, i AS idx, count(*) AS cnt FROM t GROUP BY i UNION ALL SELECT 2, j, count(*) FROM t GROUP BY j UNION ALL SELECT 3, k, count(*) FROM t GROUP BY k"
+SQL["wide_error"] = f"""WITH {WIDE}, s AS (SELECT count(*) AS nnz, count_if((mi.m & mj.m & mk.m) <> 0) AS hits FROM t JOIN mi ON mi.idx = i JOIN mj ON mj.idx = j JOIN mk ON mk.idx = k),
+  x AS (SELECT count(*) AS n FROM mi, mj, mk WHERE (mi.m & mj.m & mk.m) <> 0)
+SELECT nnz, CAST(n AS BIGINT) AS recon_nnz, CAST(hits AS BIGINT) AS hits, CAST(nnz + n - 2 * hits AS BIGINT) AS abs_error, (nnz + n - 2 * hits) / CAST(ni * nj * nk AS DOUBLE) AS rel_error FROM s, x, l"""
+SQL["wide_error_delta"] = f"WITH {WIDE}, {WIDE_D} SELECT idx, d FROM d"
+SQL["wide_column_update"] = f"""WITH {WIDE}, {WIDE_D}, c AS (SELECT *, CASE WHEN d < 0 THEN 1 ELSE 0 END AS b FROM d),
+  k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, idx) AS place, count(*) OVER (PARTITION BY b) AS n FROM c),
+  u AS (SELECT idx, d, CAST((m >> {COLUMN}) % 2 AS BIGINT) AS old, m, CAST(CASE WHEN b = 0 AND place <= n - nj // 2 THEN 1 ELSE b END AS BIGINT) AS bit FROM k, l)
+SELECT idx, d, old, bit, CAST((m & ~CAST({1 << COLUMN} AS BIGINT)) | (bit * {1 << COLUMN}) AS BIGINT) AS m FROM u"""

@@ -17,6 +17,20 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("l_suppkey") % 30).cast("long").alias("i"), (F.col("l_partkey") % 40).cast("long").alias("j"), (month % 50).cast("long").alias("k")).distinct()
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by parts by months since January 1990, of all line items and not folded: the lengths grow with the tables."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    month = (F.year("l_shipdate") - 1990) * 12 + F.month("l_shipdate") - 1
+    return rows.select(F.col("l_suppkey").cast("long").alias("i"), F.col("l_partkey").cast("long").alias("j"), month.cast("long").alias("k")).distinct()
+
+
+def wide_dims(spark: SparkSession, sf_dir: str) -> Dims:
+    """The lengths of the wide tensor, by its last supplier, part and month."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    last = rows.agg(F.max("l_suppkey").alias("i"), F.max("l_partkey").alias("j"), F.max("l_shipdate").alias("t")).select("i", "j", F.year("t").alias("y"), F.month("t").alias("m")).first()
+    return Dims(last["i"] + 1, last["j"] + 1, (last["y"] - 1990) * 12 + last["m"])
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users by event types by hours with high values."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("value >= 110")
