@@ -71,6 +71,14 @@ def config_of(p: argparse.ArgumentParser, a: argparse.Namespace) -> Config:
     )
 
 
+def log_lines(a: argparse.Namespace, config: Config, result: factorize.Result, seconds: float) -> list[str]:
+    """The parameters, a line for each iteration, and the error and times at the end."""
+    told = vars(a) | {"random_seed": config.seed}
+    steps = [", ".join(f"{k}: {v}" for k, v in step.items()) for step in result.history]
+    end = f"error: {'' if result.error is None else result.error}, seconds: {seconds:.3f}, factors: {result.factor_seconds:.3f}, core: {result.core_seconds:.3f}"
+    return [*(f"{k}: {v}" for k, v in told.items() if v is not None), *steps, end]
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> factorize.Result:
     p = parser()
     a = p.parse_args(args)
@@ -85,6 +93,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> fa
     seconds = time.time() - began
     if a.output_dir_path:
         prefix = a.output_file_prefix or sinks.prefix_of(a.tensor)
+        sinks.write_log(spark, a.output_dir_path, prefix, log_lines(a, config, result, seconds))
         for n, c in enumerate("ijk", 1):
             sinks.write_factor(result.model.masks[c], config.all_ranks[n - 1], a.output_dir_path, prefix, n, a.base_index)
         if result.model.core is not None:

@@ -35,3 +35,14 @@ def write_summary(spark, folder: str, name: str, error: int | None, seconds: flo
     """A line is appended: error, seconds in total, for the factors and for the core."""
     line = "\t".join(("" if error is None else str(error), f"{seconds:.3f}", f"{factor_seconds:.3f}", f"{core_seconds:.3f}"))
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{folder}/{name}.result")
+
+
+def write_log(spark, folder: str, prefix: str, lines: list[str]) -> None:
+    """One file <prefix>.log of the given lines, in any file system that Spark can write to."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}.log")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray("".join(f"{line}\n" for line in lines).encode()))
+    finally:
+        out.close()

@@ -43,6 +43,9 @@ def test_command_line_writes_factors_core_and_summary(spark, tmp_path):
     core = {tuple(map(int, r.value.split("\t"))) for r in spark.read.text(str(tmp_path / "out" / "x_core_tensor.txt")).collect()}
     assert core == result.model.core
     assert len(spark.read.text(str(tmp_path / "out" / "x.result")).first().value.split("\t")) == 4
+    log = (tmp_path / "out" / "x.log").read_text().splitlines()
+    assert "random_seed: 1" in log and sum(line.startswith("iteration: ") for line in log) == 2
+    assert log[-1].startswith(f"error: {result.error}, ")
 
 
 @pytest.mark.parametrize("args", [["-m", "cp"], ["-m", "tk", "-r1", "2"], ["-m", "zz"]])
