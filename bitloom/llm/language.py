@@ -45,15 +45,20 @@ SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<lang:s
 
 
 #: Combining marks belong to the word of the letter before them; numerals such as one half are no letters.
-_MARKS = "".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
-_MARK, _MARKED = re.compile(f"[{_MARKS}]"), re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
+_MARKS = frozenset(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+_HIGH = re.compile("[\u0300-\U0010ffff]")
+#: Marks within and beyond the first 65,536 code points: a class of both would be searched range by range for each character.
+_NEAR, _FAR = ("".join(sorted(c for c in _MARKS if (ord(c) > 0xFFFF) == far)) for far in (False, True))
+_MARKED = re.compile(rf"(?:[^\W\d_](?:[{_NEAR}]|(?=[\U00010000-\U0010ffff])[{_FAR}])*)+")
 
 
 def words(text: str | None) -> list[str]:
     """The words in lower case: letters, with the marks that follow them."""
     text = (text or "").lower()
-    found = (_MARKED if not text.isascii() and _MARK.search(text) else _WORD).findall(text)
-    if text.isascii() or all(map(str.isalpha, found)):
+    ascii_only = text.isascii()
+    marked = not ascii_only and _HIGH.search(text) and not _MARKS.isdisjoint(text)
+    found = (_MARKED if marked else _WORD).findall(text)
+    if ascii_only or all(map(str.isalpha, found)):
         return found
     return [p for w in found for p in ("".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in w)).split() if any(map(str.isalpha, p))]
 
