@@ -26,6 +26,8 @@ SAMPLE = 20_000
 CELLS, SMOOTH = 1 << 16, 0.5
 #: Log-likelihood that a switch of language costs, most that a word counts, and a script's least share of a language.
 SWITCH, MOST, USED = 12.0, 6.0, 0.01
+#: Letters of new words that are scored at once.
+LETTERS = 1 << 16
 #: Words whose scores a worker keeps.
 CACHED = 250_000
 UNKNOWN = "und"
@@ -69,6 +71,9 @@ def script(word: str) -> str:
 
 def features(word: str) -> list[int]:
     w = f"<{word}>"
+    if w.isascii():
+        w = w.encode()
+        return [zlib.crc32(g) % CELLS for g in (w, *(w[i : i + 3] for i in range(len(w) - 2)), w[:4], w[-4:])]
     grams = [w, *(w[i : i + 3] for i in range(len(w) - 2)), w[:4], w[-4:]]
     return [zlib.crc32(g.encode()) % CELLS for g in grams]
 
@@ -85,13 +90,26 @@ class Model:
 
     def word(self, word: str) -> np.ndarray:
         """The score of a word for each language: 0 for the likeliest, at worst -MOST, and that for other scripts."""
-        uses = self.uses.get(script(word))
-        if uses is None or not uses.any():
-            return np.zeros(len(self.langs), np.float32)
-        f = features(word)
-        s = self.table[f].mean(0) * min(len(f), 4)
-        s = np.maximum(s - s[uses].max(), -MOST)
-        return np.where(uses, s, -MOST).astype(np.float32)
+        return self.words([word])[0]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, computed for about LETTERS letters at once."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        if not out.size:
+            return out
+        group = np.cumsum([len(w) + 2 for w in words]) // LETTERS
+        ends = [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(words)]
+        none = np.zeros(len(self.langs), bool)
+        for start, end in zip([0, *ends], ends, strict=False):
+            found = [features(w) for w in words[start:end]]
+            n = np.array([len(f) for f in found])
+            s = np.add.reduceat(self.table[np.concatenate(found)], np.cumsum(n) - n, axis=0)
+            s = s / n[:, None].astype(np.float32) * np.minimum(n, 4)[:, None].astype(np.float32)
+            uses = np.stack([self.uses.get(script(w), none) for w in words[start:end]])
+            top = np.where(uses, s, -np.inf).max(1, keepdims=True)
+            scores = np.where(uses, np.maximum(s - top, -MOST), -MOST)
+            out[start:end] = np.where(uses.any(1)[:, None], scores, 0)
+        return out
 
     def viterbi(self, scores: np.ndarray, where: list[np.ndarray]) -> list[np.ndarray]:
         """The language of each word of each text; scores has a row for each distinct word. Texts advance in step."""
@@ -190,9 +208,9 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 new = set().union(*batch)
             if len(known) + len(new) > len(table[0]):
                 table[0] = np.concatenate((table[0], np.zeros((max(len(table[0]), len(new)), len(model.langs)), np.float32)))
-            for w in new:
-                table[0][len(known)] = model.word(w)
-                known[w] = len(known)
+            new = list(new)
+            table[0][len(known) : len(known) + len(new)] = model.words(new)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             return [np.fromiter(map(known.__getitem__, b), np.int64, len(b)) for b in batch]
 
         def work(batch: pa.RecordBatch) -> dict:
