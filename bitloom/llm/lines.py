@@ -9,8 +9,7 @@ stands within the first n - ceil(n * PERCENT / 100) + 1 tokens of each (the pref
 only. A token that occurs HOT times or more is posted together with each later token of a prefix that is one token longer,
 among which is the second token they share; so no list grows without bound with the corpus. Pairs in a posting list must pass
 the length filter, the positional filter at the first shared token, and a bound on what their sets do not share: a token
-flips one of 64 bits, or of 128 if both lines have over LONG tokens, so the bits of two lines differ in no more places than the
-lines have tokens alone. The full token sets of the few pairs that are left are compared.
+flips one of 64 bits, so the bits of two lines differ in no more places than the lines have tokens alone. The full token sets of the few pairs that are left are compared.
 
 Before that, the lists of the HEADS rarest tokens of each line are joined to their earliest lines alone, which settles large
 groups of near copies in linear work; only lines that are not settled so meet the other earlier lines of their lists.
@@ -18,6 +17,7 @@ groups of near copies in linear work; only lines that are not settled so meet th
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +28,10 @@ from bitloom.llm.common import cells, maybe
 
 PERCENT = 80
 #: Tokens of a line whose lists are joined to their earliest lines first.
-HEADS = 8
-#: Cells of the table of rarities; a token of a cell that counts HOT or more is posted in pairs.
-CELLS, HOT = 1 << 16, 4096
-#: Tokens of a line from which on it has 128 bits.
-LONG = 64
+HEADS = 3
+#: Cells of the table of rarities; a token of a cell that counts HOT or more is posted in pairs. Cells that count less than FEW
+#: are all alike, so a small corpus sends few of them to the driver.
+CELLS, HOT, FEW = 1 << 20, 4096, 16
 #: Slices of the tokens that are joined one after the other.
 SLICES = 2
 #: Cells of the broadcast table that tells which lines may be concerned.
@@ -52,7 +51,7 @@ def _level(n: int) -> int:
     return (n * n).bit_length() - 1 if n else 0
 
 
-def _constant(values: list[int], kind: str) -> Column:
+def _constant(values: Iterable[int], kind: str) -> Column:
     """An array as a constant of the plan, of a bounded number of values."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
@@ -60,36 +59,36 @@ def _constant(values: list[int], kind: str) -> Column:
 def _ranks(texts: DataFrame) -> Column:
     """An array with the rarity of each cell: the level of how many tokens of the corpus fall into it."""
     token = F.explode(_tokens(F.replace("text", F.lit("\n"), F.lit(" "))))
-    found = texts.select(token.alias("t")).select(_cell(F.xxhash64("t")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).toArrow()
-    ranks = [0] * CELLS
-    for cell, n in zip(*(c.to_pylist() for c in found.columns), strict=True):
-        ranks[cell] = _level(n)
+    found = texts.select(token.alias("t")).select(_cell(F.xxhash64("t")).cast("int").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    ranks = bytearray(CELLS)
+    for batch in found.where(F.col("n") >= FEW).toArrow().to_batches():
+        for cell, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ranks[cell] = _level(n)
     return _constant(ranks, "bigint")
 
 
-def _parity(words: Column, half: bool = False) -> Column:
-    """A long of which each hash flips one bit; half: each of a half of the hashes."""
-    bits = [1 << k if k < 63 else -1 << 63 for k in range(64)]
-    bits = F.array(*(F.lit(b).cast("long") for b in ([0] * 64 + bits if half else bits)))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bits[h.bitwiseAND(F.lit(127 if half else 63).cast("long"))]))
+def _parity(words: Column) -> Column:
+    """A long of which each hash flips one bit."""
+    bits = F.array(*(F.lit(1 << k if k < 63 else -1 << 63).cast("long") for k in range(64)))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bits[h.bitwiseAND(F.lit(63).cast("long"))]))
 
 
 def _sets(texts: DataFrame, percent: int) -> DataFrame:
-    """The lines that have tokens: doc_id, pos, h and g (hashes of the set), n, bits, half, prefix and cool.
+    """The lines that have tokens: doc_id, pos, h and g (hashes of the set), n, bits, prefix and cool.
 
     prefix holds the rarest tokens, one more than the prefix filter asks for; the first cool of them are not frequent.
     """
     ranks = _ranks(texts)
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
     words = F.array_remove(F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    key = lambda h: F.shiftleft(F.coalesce(ranks[_cell(h)], F.lit(0).cast("long")), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
-    keyed = lines.select("doc_id", "pos", words.alias("words")).where(F.size("words") > 0)
-    keyed = keyed.select("doc_id", "pos", _parity(F.col("words")).alias("bits"), F.when(F.size("words") > LONG, _parity(F.col("words"), True)).otherwise(F.lit(0).cast("long")).alias("half"), F.sort_array(F.transform("words", key)).alias("keys"))
+    key = lambda h: F.shiftleft(ranks[_cell(h)], 55).bitwiseOR(F.shiftrightunsigned(h, 9))
+    keyed = lines.select("doc_id", "pos", words.alias("words"))
+    keyed = keyed.select("doc_id", "pos", _parity(F.col("words")).alias("bits"), F.sort_array(F.transform("words", key)).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * percent / 100).cast("int") + 2)
-    out = keyed.select("doc_id", "pos", F.xxhash64("keys").alias("h"), F.hash("keys").alias("g"), n.alias("n"), "bits", "half", prefix.alias("prefix"))
+    out = keyed.select("doc_id", "pos", F.xxhash64("keys").alias("h"), F.hash("keys").alias("g"), n.alias("n"), "bits", prefix.alias("prefix"))
     cool = F.size(F.filter("prefix", lambda k: k < F.lit(_level(HOT) << 55).cast("long")))
-    return out.select("doc_id", "pos", "h", "g", "n", "bits", "half", F.transform("prefix", lambda k: F.hash(k)).alias("prefix"), cool.alias("cool"))
+    return out.select("doc_id", "pos", "h", "g", "n", "bits", F.transform("prefix", lambda k: F.hash(k)).alias("prefix"), cool.alias("cool"))
 
 
 def matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -103,13 +102,13 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = cells(first.select("h", "g"))
     some = maybe(every, found, ["h", "g"]).join(first, ["h", "g"], "left")
     copies = common.stored(some.where("d is not null and (doc_id <> d or pos <> p)").select("doc_id", "pos"))
-    columns = ("doc_id", "pos", "n", "bits", "half", "prefix", "cool")
+    columns = ("doc_id", "pos", "n", "bits", "prefix", "cool")
     whole = maybe(every, found, ["h", "g"], "left_anti").select(*columns).unionAll(some.where("d is null or (doc_id = d and pos = p)").select(*columns))
     whole = common.stored(whole.where(F.col("n") * (100 - percent) >= percent), every, first)
 
-    few = whole.select(F.posexplode(F.slice("prefix", 1, HEADS)).alias("k", "token"), "doc_id", "pos", "n", "bits", "half")
-    few = few.select("token", "doc_id", "pos", "n", (F.col("n") - F.col("k") - 1 + HEADS).alias("left"), "bits", "half")
-    heads = few.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "left", "bits", "half")).alias("h"), F.count("*").alias("size")).where("size > 1")
+    few = whole.select(F.posexplode(F.slice("prefix", 1, HEADS)).alias("k", "token"), "doc_id", "pos", "n", "bits")
+    few = few.select("token", "doc_id", "pos", "n", (F.col("n") - F.col("k") - 1 + HEADS).alias("left"), "bits")
+    heads = few.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "n", "left", "bits")).alias("h"), F.count("*").alias("size")).where("size > 1")
     heads = heads.select("token", *(F.col(f"h.{c}").alias(e) for c, e in _EARLIER.items()))
     stars = _close(_filtered(few.join(heads.hint("merge"), "token"), percent), whole, percent)
     settled = _verified(texts, stars.drop("shared"), percent)
@@ -131,20 +130,20 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 #: The names of an earlier line's columns beside those of a line.
-_EARLIER = {"doc_id": "d", "pos": "p", "n": "m", "left": "more", "bits": "q", "half": "r"}
+_EARLIER = {"doc_id": "d", "pos": "p", "n": "m", "left": "more", "bits": "q"}
 
 
 def _posted(lines: DataFrame, percent: int) -> DataFrame:
     """A row for each key of each line: token, the line, and how many tokens it can share (left) if it shares the key's and
     none before."""
     last = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1  # place of the first shared token at most
-    own, bits = ("doc_id", "pos", "n"), ("bits", "half")
-    single = lines.select(F.posexplode(F.slice("prefix", 1, F.least("cool", last))).alias("k", "token"), *own, *bits)
-    single = single.select("token", *own, (F.col("n") - F.col("k")).alias("left"), *bits)
-    hot = lines.where(F.col("cool") < last).select(F.posexplode("prefix").alias("k", "t"), "prefix", "cool", last.alias("last"), *own, *bits)
-    hot = hot.where((F.col("k") >= F.col("cool")) & (F.col("k") < F.col("last"))).select("t", "k", F.slice("prefix", F.col("k") + 2, F.size("prefix")).alias("rest"), *own, *bits)
-    hot = hot.select("t", "k", F.posexplode("rest").alias("more", "u"), *own, *bits)
-    return single.unionAll(hot.select(F.hash("t", "u").alias("token"), *own, (F.col("n") - F.col("k") - F.col("more")).alias("left"), *bits))
+    own = ("doc_id", "pos", "n")
+    single = lines.select(F.posexplode(F.slice("prefix", 1, F.least("cool", last))).alias("k", "token"), *own, "bits")
+    single = single.select("token", *own, (F.col("n") - F.col("k")).alias("left"), "bits")
+    hot = lines.where(F.col("cool") < last).select(F.posexplode("prefix").alias("k", "t"), "prefix", "cool", last.alias("last"), *own, "bits")
+    hot = hot.where((F.col("k") >= F.col("cool")) & (F.col("k") < F.col("last"))).select("t", "k", F.slice("prefix", F.col("k") + 2, F.size("prefix")).alias("rest"), *own, "bits")
+    hot = hot.select("t", "k", F.posexplode("rest").alias("more", "u"), *own, "bits")
+    return single.unionAll(hot.select(F.hash("t", "u").alias("token"), *own, (F.col("n") - F.col("k") - F.col("more")).alias("left"), "bits"))
 
 
 def _need(percent: int) -> Column:
@@ -153,13 +152,11 @@ def _need(percent: int) -> Column:
 
 
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a line (doc_id, pos, with n tokens, of which it can share left, bits, half) and an earlier one (d, p, m, more,
-    q, r) that may match."""
+    """Pairs of a line (doc_id, pos, with n tokens, of which it can share left, bits) and an earlier one (d, p, m, more, q) that
+    may match."""
     both = F.col("n") + F.col("m")
     earlier = (F.col("d") < F.col("doc_id")) | ((F.col("d") == F.col("doc_id")) & (F.col("p") < F.col("pos")))
-    differ, of_half = F.col("bits").bitwiseXOR(F.col("q")), F.col("half").bitwiseXOR(F.col("r"))
-    wide = F.bit_count(differ.bitwiseXOR(of_half)) + F.bit_count(of_half)
-    near = F.when(F.least("n", "m") > LONG, wide).otherwise(F.bit_count(differ)) <= both - 2 * _need(percent)
+    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("q"))) <= both - 2 * _need(percent)
     length = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     found = pairs.where(earlier & (F.least("left", "more") * (100 + percent) >= both * percent) & length & near)
     return found.select("doc_id", "pos", "d", "p").distinct()
@@ -168,8 +165,11 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
 def _close(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs that may match by their prefixes, with the number of prefix tokens they share: of one of the two lines, all
     shared tokens that its prefix has are in the other's prefix too."""
-    x = whole.select("doc_id", "pos", "n", F.col("prefix").alias("s"))
-    y = whole.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("n").alias("m"), F.col("prefix").alias("t"))
+    pairs = common.stored(pairs)
+    ends = pairs.select("doc_id", "pos").unionAll(pairs.select(F.col("d").alias("doc_id"), F.col("p").alias("pos")))
+    ends = maybe(whole, cells(ends, MARKS), ["doc_id", "pos"], cells=MARKS)
+    x = ends.select("doc_id", "pos", "n", F.col("prefix").alias("s"))
+    y = ends.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("n").alias("m"), F.col("prefix").alias("t"))
     shared = F.size(F.array_intersect("s", "t")) + F.size("s") - F.size(F.array_distinct("s"))
     both = pairs.join(x, ["doc_id", "pos"]).join(y, ["d", "p"])
     both = both.select("doc_id", "pos", "d", "p", F.inline(F.array(F.struct(shared.alias("shared"), F.greatest(F.col("n") - F.size("s"), F.col("m") - F.size("t")).alias("rest"), _need(percent).alias("need")))))

@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom.llm import common, embeddings, lines, minhash, queries
 from bitloom.llm.oracle import SQL
@@ -226,3 +227,11 @@ def test_short_lines_and_frequent_tokens(spark, monkeypatch, hot):
     rows += [(100 + k, "All rights reserved\n\n  \nI\nreserved all rights\nw1 w2 w3 w4" + " w5" * (k % 2)) for k in range(6)]
     found = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, found.collect())) == sorted(brute_lines(rows))
+
+
+def test_rare_tokens_stay_apart_in_a_large_corpus(spark, monkeypatch):
+    """Hardly any of half a million tokens that occur once or twice is posted in pairs, whose number would grow with the square."""
+    monkeypatch.setattr(lines, "HOT", 8)
+    words = [F.concat(F.lit(f"w{k}x"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")) for k in range(20)]
+    texts = spark.range(50_000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", *words))
+    assert lines._sets(texts, lines.PERCENT).where("cool < size(prefix)").count() < 500
